@@ -2,51 +2,76 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 import numpy as np
 
+#: How a byte-level vocabulary writes a space at the start of a token.
+SPACE = "Ġ"
+
 
 class WordCachedEncoder:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer is byte-level, as little-endian uint32 bytes.
 
     That pre-tokenizer always starts a new token at a space between two characters that aren't white space, so a
-    text is cut there, each distinct word is encoded once, and the words' ids are joined. A text with any other
-    white space next to a space is encoded as one. The cache is emptied when it holds ``limit`` words; ``None`` is
-    an empty text. Strings of special tokens within a text are ordinary text.
+    text is cut there, each word that isn't in the cache is encoded, and the words' ids are joined. New words are
+    encoded together, as one text; each of them starts at the only token with a space in front. A full stop or comma
+    after nothing but letters is a token of its own, so such words share the ids of their letters. A text with any
+    other white space next to a space is encoded as one. Of the cache's two halves the older one is dropped when the
+    newer one is full, less the words used since. ``None`` is an empty text. Strings of special tokens within a text
+    are ordinary text.
     """
 
-    uneven = re.compile(r"\s | \s").search
+    odd_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+    odd_pair = re.compile(r"\s | \s").search
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit, self.words = limit, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.marks = {m: self.whole(f"a{m}")[-1:].tobytes() for m in ".,"}
+        self.half, self.words, self.older = limit // 2, {}, {}
+
+    def uneven(self, text: str) -> bool:
+        """Whether white space stands next to a space."""
+        return "  " in text or " \n" in text or "\n " in text or bool(self.odd_space(text) and self.odd_pair(text))
+
+    def whole(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4")
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+    def learn(self, fresh: set[str]) -> None:
+        """Caches the ids of each word with a space before it."""
+        words, older = self.words, self.older
+        fresh = fresh.difference(kept := [w for w in fresh if w in older])
+        words.update(zip(kept, map(older.__getitem__, kept), strict=True))
+        marked = {w for w in fresh if w[-1] in self.marks and w[:-1].isalpha()}
+        plain = list((fresh - marked).union(w[:-1] for w in marked).difference(words))
+        if plain:
+            ids = self.whole(" " + " ".join(plain))
+            edges = np.flatnonzero(self.starts[ids]).tolist()
+            if len(edges) != len(plain):
+                raise ValueError("the tokenizer doesn't start a token at each space; a byte-level one is needed")
+            joined, edges = ids.tobytes(), [4 * e for e in edges] + [4 * len(ids)]
+            words.update(zip(plain, map(joined.__getitem__, map(slice, edges, edges[1:])), strict=True))
+        words.update((w, words[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
-    def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """One bytes object for each text."""
-        out: list[bytes] = []
-        words = self.words
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif text[0] == " " or text[-1] == " " or self.uneven(text):
-                out += self.ids([text])
-            else:
-                first, *rest = text.split(" ")
-                if fresh := [w for w in {*rest} if w not in words]:
-                    if len(words) + len(fresh) > self.limit:
-                        words.clear()
-                        fresh = list({*rest})
-                    words.update(zip(fresh, self.ids([" " + w for w in fresh]), strict=True))
-                out.append(b"".join([*self.ids([first]), *map(words.__getitem__, rest)]))
-        return out
+        cut = [None if not t or t[0] == " " or t[-1] == " " or self.uneven(t) else t.split(" ") for t in texts]
+        if len(self.words) > self.half:
+            self.words, self.older = {}, self.words
+        if fresh := set().union(*(parts[1:] for parts in cut if parts)).difference(self.words):
+            self.learn(fresh)
+        find = self.words.__getitem__
+        starts = iter(self.tokenizer.encode_batch_fast([parts[0] if parts else text or "" for text, parts in zip(texts, cut, strict=True)], add_special_tokens=False))
+        return [b"".join([np.array(next(starts).ids, "<u4").tobytes(), *map(find, (parts or ())[1:])]) for parts in cut]
