@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import common, id_files, lengths, packing
+from tempestry.llm import ann, common, decontaminate, hilbert, html_text, id_files, langid, lengths, line_dedup, ngram_join, packing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,23 +26,62 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(documents(spark, sf_dir))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(common.table(spark, sf_dir, "pages", ("page_id", "url", "html")))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "token-ids")
     manifest = id_files.write_files(documents(spark, sf_dir), tokenizer_path(), path)
     return id_files.read_files(spark, path, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings", ("vec_id", "embedding"))
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.digest(hilbert.shards(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), 24))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.leaks(documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark", ("item_id", "text"))))
+
+
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_table(lengths.length_counts(documents(spark, sf_dir, "text"), tokenizer_path()))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.deduplicated(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_ngram_join": op2_ngram_join,
+        "op3_html_text": op3_html_text,
         "op4_token_ids": op4_token_ids,
+        "op5_nearest": op5_nearest,
+        "op6_language": op6_language,
+        "op7_hilbert_shards": op7_hilbert_shards,
+        "op8_decontamination": op8_decontamination,
         "op9_length_histogram": op9_length_histogram,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": line_dedup.oracle_sql()}
