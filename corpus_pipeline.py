@@ -1,2 +1,48 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""Pipeline of the training-data operators: from documents to packed sequences, a table written between stages.
+
+language ID, line deduplication, near-duplicate removal, benchmark decontamination, packing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tempestry.llm import common, decontaminate, langid, line_dedup, ngram_join, packing, queries
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; a text that no learned language is near to, or without a letter, goes."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more have go; documents keep the rest, which may be empty."""
+    kept = line_dedup.deduplicated(docs).drop("n_lines", "n_dropped")
+    return kept.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest doc_id."""
+    return ngram_join.one_of_each(docs, ngram_join.grouped(docs))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark", ("item_id", "text")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, as op1 returns them."""
+    return packing.packed_digest(packing.pack(docs, queries.tokenizer_path()))
+
+
+STAGES = [("language_id", languages), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", contamination), ("packing", packed)]
+#: Tokenizer ids, clusters and groups aren't expressible in SQL; tests/llm/test_pipeline.py has a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
