@@ -34,7 +34,7 @@ def words(text: Column) -> Column:
 
 
 def shingles(hashes: Column) -> Column:
-    """Hashes of each WORDS consecutive words; none if there are fewer words."""
+    """Hashes of each WORDS consecutive words; none if there are fewer words. hashes: a column that is there already."""
     last = F.size(hashes) - WORDS
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WORDS))))
@@ -78,7 +78,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFra
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
 
     texts = identified(docs)
-    found = texts.select(*ROW, F.posexplode(shingles(words(F.col("text")))).alias("at", "h")).join(known, "h", "left_semi")
+    # the words are a column of their own: as part of a lambda they would be made anew for each shingle
+    found = texts.select(*ROW, words(F.col("text")).alias("w")).select(*ROW, F.posexplode(shingles(F.col("w"))).alias("at", "h")).join(known, "h", "left_semi")
     hits = found.join(starts, "h").select(*ROW, F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"), "length")
     wanted = common.written(hits.groupBy(*ROW).agg(F.collect_set(F.struct("start", "length")).alias("windows")), "windows")
     windows = texts.join(wanted, ROW).dropDuplicates(ROW).select(*ROW, words(F.col("text")).alias("w"), "windows").select(*ROW, "w", F.explode("windows").alias("x"))
