@@ -6,9 +6,10 @@ it follows their hashes. Two sets of similarity t or more share a shingle among
 shingles; a pair's overlap is counted in each fragment by itself and summed over the fragments.
 
 Pairs are never listed within a group of copies. First every node of a list is compared with the list's best
-connected node only; what links is a component. Then the pairs of a list whose ends are still in different
-components are compared, all of them, less those that their sizes and places rule out. Links within a component
-can't change the groups any more, so the groups are exact.
+connected node only, if the two meet often; what links is a component. Then the pairs of a list whose ends are still
+in different components are compared, all of them, less those that their sizes or the number of prefix shingles they
+share rule out: what isn't in both prefixes is at most the rest of one of the sets. Links within a component can't
+change the groups any more, so the groups are exact.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS, FRAGMENTS = 5, 4
 FREQUENT, LEAST_FREQUENT = 400_000, 8
 #: Shingles counted at a time in a task, and documents of a salted part of a frequent shingle's list.
 HELD, PART = 4_000_000, 1000
+#: Documents to look up again are broadcast up to so many ids (8 bytes each), and joined by a shuffle beyond.
+BROADCAST_IDS = 2_000_000
 NO_ID = -(1 << 63)
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -149,15 +152,15 @@ def in_order(shingles: np.ndarray, often: np.ndarray, df: np.ndarray) -> tuple[n
 
 
 def prefixes(docs: DataFrame, often: np.ndarray, df: np.ndarray, threshold: Fraction) -> DataFrame:
-    """shingle, node, n, at (its place in the node's order), salt, parts: a row for each prefix shingle, once a task for
-    copies. A frequent shingle's list is dealt over parts by salt."""
-    schema = "shingle long, node long, n long, at long, salt long, parts long"
+    """shingle, node, n, salt, parts: a row for each prefix shingle, once a task for copies. A frequent shingle's list is
+    dealt over parts by salt."""
+    schema = "shingle long, node long, n long, salt long, parts long"
     known = docs.sparkSession.sparkContext.broadcast((often, df))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, (often, df) = Shingler(), set(), known.value
         for batch in batches:
-            rows: list[list[np.ndarray]] = [[] for _ in range(6)]
+            rows: list[list[np.ndarray]] = [[] for _ in range(5)]
             for text in batch.column(1):
                 s = shingle(text.as_py())
                 node, n = node_of(s), len(s)
@@ -169,7 +172,7 @@ def prefixes(docs: DataFrame, often: np.ndarray, df: np.ndarray, threshold: Frac
                 first = n - int(-(-threshold * n // 1)) + 1
                 s, counts = in_order(s, often, df)
                 parts = counts[:first] // PART + 1
-                for column, x in zip(rows, (s[:first].view(np.int64), np.full(first, node), np.full(first, n), np.arange(first), node % parts, parts), strict=True):
+                for column, x in zip(rows, (s[:first].view(np.int64), np.full(first, node), np.full(first, n), node % parts, parts), strict=True):
                     column.append(x)
             yield _batch(schema, [np.concatenate(c) if c else [] for c in rows])
 
@@ -194,7 +197,7 @@ def fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield _batch(schema, rows)
 
     texts = _texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    return texts.join(wanted, "doc_id", "left_semi").mapInArrow(task, schema).dropDuplicates(["node", "fragment"])
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi").mapInArrow(task, schema).dropDuplicates(["node", "fragment"])
 
 
 def links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -246,31 +249,34 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     p, q = t.numerator, t.denominator
     rows, counts = signatures(docs)
     alike = lambda na, nb: (q * F.col(na) >= p * F.col(nb)) & (q * F.col(nb) >= p * F.col(na))
-    least = lambda na, nb: F.ceil(F.lit(p) * (F.col(na) + F.col(nb)) / F.lit(p + q))  # noqa: E731  overlap of sets of these sizes
+    least = F.ceil(F.lit(p) * (F.col("na") + F.col("nb")) / F.lit(p + q))  # overlap of linked sets of these sizes
+    after = lambda n: F.ceil(F.lit(p) * F.col(n) / F.lit(q)) - 1  # noqa: E731  shingles after the prefix
+    in_prefixes = least - F.greatest(after("na"), after("nb"))
+    as_pair = lambda df, x, nx, y, ny: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
 
     lists = Window.partitionBy("shingle", "salt")
     prefix = prefixes(docs, *frequent(counts), t).select("*", F.min("node").over(lists).alias("low"), F.max("node").over(lists).alias("high"), F.count("*").over(lists).alias("among"))
-    shared = common.written(prefix.where((F.col("low") != F.col("high")) | (F.col("parts") > 1)).groupBy("shingle", "node", "n", "at").agg(F.max("among").alias("among")), "lists")
+    shared = common.written(prefix.where((F.col("low") != F.col("high")) | (F.col("parts") > 1)).groupBy("shingle", "node", "n").agg(F.max("among").alias("among")), "lists")
     weight = shared.groupBy("node").agg(F.sum("among").alias("weight"))
     heads = shared.join(weight, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("head"))
-    stars = shared.join(heads, "shingle").select("node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")).where((F.col("node") != F.col("head")) & alike("n", "head_n")).distinct()
-    swap = F.col("node") > F.col("head")
-    stars = common.written(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), F.when(swap, F.col("head_n")).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(F.col("head_n")).alias("nb")).distinct(), "stars")
+    stars = shared.join(heads, "shingle").select("node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")).where((F.col("node") != F.col("head")) & alike("n", "head_n"))
+    stars = common.written(as_pair(stars, "node", "n", "head", "head_n").where(2 * F.col("met") >= in_prefixes), "stars")
 
-    named = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"))
-    wanted = named.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id")
-    sets = common.written(fragments(docs, wanted), "fragments")
+    named = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")), "nodes")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = common.written(fragments(docs, named.join(ends(stars), "node", "left_semi").select("doc_id")), "fragments")
     first = common.written(links(stars, sets, t), "links")
     labels = components(first)
 
-    placed = shared.join(labels, "node", "left").select("shingle", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
     apart = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
     open_lists = common.written(placed.join(apart, "shingle"), "open-lists")
-    x, y = (open_lists.select("shingle", F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("at").alias(f"at{v}"), F.col("component").alias(f"c{v}")) for v in "ab")
-    possible = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= least("na", "nb")
-    rest = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike("na", "nb") & possible).select("a", "b", "na", "nb").distinct()
-    rest = common.written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    labels = components(first.union(links(rest, sets, t)))
+    x, y = (open_lists.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "n", "component"))) for v in "xy")
+    rest = x.join(y, "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike("n_x", "n_y"))
+    rest = common.written(as_pair(rest, "node_x", "n_x", "node_y", "n_y").where(F.col("met") >= in_prefixes).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    new = ends(rest).join(sets.select("node"), "node", "left_anti")
+    more = common.written(fragments(docs, named.join(new, "node", "left_semi").select("doc_id")), "fragments")
+    labels = components(first.union(links(rest, sets.union(more), t)))
 
     members = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     names = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
