@@ -249,9 +249,9 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     p, q = t.numerator, t.denominator
     rows, counts = signatures(docs)
     alike = lambda na, nb: (q * F.col(na) >= p * F.col(nb)) & (q * F.col(nb) >= p * F.col(na))
-    least = F.ceil(F.lit(p) * (F.col("na") + F.col("nb")) / F.lit(p + q))  # overlap of linked sets of these sizes
     after = lambda n: F.ceil(F.lit(p) * F.col(n) / F.lit(q)) - 1  # noqa: E731  shingles after the prefix
-    in_prefixes = least - F.greatest(after("na"), after("nb"))
+    # shingles that linked sets of these sizes have in both prefixes: of their overlap, what the rest can't hold
+    in_prefixes = lambda na, nb: F.ceil(F.lit(p) * (F.col(na) + F.col(nb)) / F.lit(p + q)) - F.greatest(after(na), after(nb))
     as_pair = lambda df, x, nx, y, ny: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
 
     lists = Window.partitionBy("shingle", "salt")
@@ -260,7 +260,7 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     weight = shared.groupBy("node").agg(F.sum("among").alias("weight"))
     heads = shared.join(weight, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("head"))
     stars = shared.join(heads, "shingle").select("node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")).where((F.col("node") != F.col("head")) & alike("n", "head_n"))
-    stars = common.written(as_pair(stars, "node", "n", "head", "head_n").where(2 * F.col("met") >= in_prefixes), "stars")
+    stars = common.written(as_pair(stars, "node", "n", "head", "head_n").where(2 * F.col("met") >= in_prefixes("na", "nb")), "stars")
 
     named = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")), "nodes")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -271,9 +271,14 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     placed = shared.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
     apart = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
     open_lists = common.written(placed.join(apart, "shingle"), "open-lists")
-    x, y = (open_lists.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "n", "component"))) for v in "xy")
-    rest = x.join(y, "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike("n_x", "n_y"))
-    rest = common.written(as_pair(rest, "node_x", "n_x", "node_y", "n_y").where(F.col("met") >= in_prefixes).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    # Linked nodes meet in m = in_prefixes lists or more. In one order of the lists, longest first, the m-th of those
+    # is the m-th or a later list of either node: only there are pairs made.
+    order = Window.partitionBy("node").orderBy(F.desc("size"), "shingle")
+    ranked = open_lists.join(open_lists.groupBy("shingle").agg(F.count("*").alias("size")), "shingle").withColumn("k", F.row_number().over(order))
+    x, y = (ranked.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "n", "component", "k"))) for v in "xy")
+    late = F.least("k_x", "k_y") >= in_prefixes("n_x", "n_y")
+    rest = x.join(y, "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike("n_x", "n_y") & late)
+    rest = common.written(as_pair(rest, "node_x", "n_x", "node_y", "n_y").join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     new = ends(rest).join(sets.select("node"), "node", "left_anti")
     more = common.written(fragments(docs, named.join(new, "node", "left_semi").select("doc_id")), "fragments")
     labels = components(first.union(links(rest, sets.union(more), t)))
