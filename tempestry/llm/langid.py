@@ -55,11 +55,9 @@ class Model:
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Spherical k-means of unit rows: at most k unit centroids; each next start is the row farthest from those before."""
-    start = [int(np.random.default_rng(seed).integers(len(x)))]
-    while len(start) < min(k, len(x)):
-        start.append(int((x @ x[start].T).max(axis=1).argmin()))
-    c = x[start]
+    """Spherical k-means of unit rows: at most k unit centroids, started from drawn rows (not from the
+    rows farthest apart, which are texts of several languages)."""
+    c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
         sums = np.stack([x[own == i].sum(axis=0) for i in range(len(c)) if (own == i).any()])
@@ -67,7 +65,7 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarr
     return c
 
 
-def fit(labelled: DataFrame, sample: int = 300, centroids: int = 4, strictness: float = 0.35) -> Model | None:
+def fit(labelled: DataFrame, sample: int = 300, centroids: int = 4, strictness: float = 0.2) -> Model | None:
     """From labelled (doc_id, text, lang): about ``sample`` texts of each language, by a hash of doc_id and text, so that
     the same rows always give the same model and no language or source is favoured. None without a usable row.
 

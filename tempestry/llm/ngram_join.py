@@ -29,8 +29,10 @@ WORDS, FRAGMENTS = 5, 4
 #: Shingles broadcast as frequent ones: those counted most often, so many at most (16 bytes each). Any order is right;
 #: a shingle that isn't among them keeps its place by hash.
 FREQUENT, LEAST_FREQUENT = 400_000, 8
+#: Documents that a task turns into rows at a time.
+SLICE = 512
 #: Shingles counted at a time in a task, and documents of a salted part of a frequent shingle's list.
-HELD, PART = 4_000_000, 1000
+HELD, PART = 1_000_000, 1000
 #: Documents to look up again are broadcast up to so many ids (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 NO_ID = -(1 << 63)
@@ -81,6 +83,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.column(1)[at : at + SLICE]
+
+
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -159,9 +167,9 @@ def prefixes(docs: DataFrame, often: np.ndarray, df: np.ndarray, threshold: Frac
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, (often, df) = Shingler(), set(), known.value
-        for batch in batches:
+        for texts in _slices(batches):
             rows: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for text in batch.column(1):
+            for text in texts:
                 s = shingle(text.as_py())
                 node, n = node_of(s), len(s)
                 if not n or node in seen:
@@ -186,9 +194,9 @@ def fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         edges = (np.arange(1, FRAGMENTS, dtype=np.float64) / FRAGMENTS * 2.0**64).astype(np.uint64)
-        for batch in batches:
+        for texts in _slices(batches):
             rows: list[list] = [[], [], []]
-            for text in batch.column(1):
+            for text in texts:
                 s = shingle(text.as_py())
                 cuts = [0, *np.searchsorted(s, edges).tolist(), len(s)]
                 rows[0] += [node_of(s)] * FRAGMENTS
