@@ -67,10 +67,10 @@ def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.table(name)
 
 
-def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
+def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Exactly-once files: each batch's rows under its own number, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
