@@ -201,6 +201,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null html is empty; a page without content has an empty text. A null url has the host "". Pages of any length
     are read whole; repeated rows are extracted each, and count as pages of their host.
     """
+    common.short_batches(pages.sparkSession)
     found = common.written(templates(pages), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
 

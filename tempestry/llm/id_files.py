@@ -30,18 +30,19 @@ NULL_ID = -(1 << 63)
 
 def encode_block(ids: np.ndarray) -> bytes:
     """A block: counts of ids, table entries and data bytes (uint32 each), table, control bytes, data bytes."""
-    known, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -counts))
-    rank_of = np.empty(len(known), dtype=np.uint32)
-    rank_of[order] = np.arange(len(known), dtype=np.uint32)
-    ranks = rank_of[inverse]
+    counts = np.bincount(ids)  # ids are below the vocabulary's size
+    known = np.flatnonzero(counts)
+    known = known[np.argsort(-counts[known], kind="stable")]
+    rank_of = np.empty(len(counts), dtype=np.uint32)
+    rank_of[known] = np.arange(len(known), dtype=np.uint32)
+    ranks = rank_of[ids]
     width = 1 + (ranks > 0xFF).astype(np.int8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4) < width[:, None]].tobytes()
     padded = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     padded[: len(ids)] = width - 1
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
-    return struct.pack("<III", len(ids), len(known), len(data)) + known[order].astype("<u4").tobytes() + control + data
+    return struct.pack("<III", len(ids), len(known), len(data)) + known.astype("<u4").tobytes() + control + data
 
 
 def decode_block(block: memoryview) -> np.ndarray:
@@ -146,6 +147,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
         else:
             files.delete_file(own)
 
+    common.short_batches(docs.sparkSession)
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return common.written(ordered.mapInArrow(task, "part long, n_docs long, n_ids long"), "id-manifest")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempestry.llm import common
+
 GRAMS = 1 << 14
 #: ASCII characters that aren't letters become spaces, A-Z lower case; the bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -122,6 +124,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     rejected[letters] = model.rejects(counts, scores[letters])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
+    common.short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -144,4 +147,5 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
                     kept[kept] = ~model.rejects(counts, model.cosines(counts).max(axis=1).clip(0, 1))
                 yield part.filter(pa.array(kept))
 
+    common.short_batches(docs.sparkSession)
     return docs.mapInArrow(task, schema)

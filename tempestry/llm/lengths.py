@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempestry.llm import common
 from tempestry.llm.tokens import WordCachedEncoder
 
 #: Lengths of one run; suffix sums go over the runs first, then within each, so no task sees all lengths.
@@ -28,6 +29,7 @@ def length_counts(docs: DataFrame, tokenizer: str, end_ids: int = 1) -> DataFram
                 counts.update(len(ids) // 4 + end_ids for ids in encode(batch.column(0)[at : at + 64].to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["length", "n"])
 
+    common.short_batches(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(task, "length long, n long")
     return counted.groupBy("length").agg(F.sum("n").alias("n_docs"))
 

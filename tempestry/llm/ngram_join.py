@@ -80,6 +80,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    common.short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -160,15 +161,15 @@ def in_order(shingles: np.ndarray, often: np.ndarray, df: np.ndarray) -> tuple[n
 
 
 def prefixes(docs: DataFrame, often: np.ndarray, df: np.ndarray, threshold: Fraction) -> DataFrame:
-    """shingle, node, n, salt, parts: a row for each prefix shingle, once a task for copies. A frequent shingle's list is
-    dealt over parts by salt."""
-    schema = "shingle long, node long, n long, salt long, parts long"
+    """shingle, node, n, at (its place in the node's order), salt, parts: a row for each prefix shingle, once a task for
+    copies. A frequent shingle's list is dealt over parts by salt."""
+    schema = "shingle long, node long, n long, at long, salt long, parts long"
     known = docs.sparkSession.sparkContext.broadcast((often, df))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, (often, df) = Shingler(), set(), known.value
         for texts in _slices(batches):
-            rows: list[list[np.ndarray]] = [[] for _ in range(5)]
+            rows: list[list[np.ndarray]] = [[] for _ in range(6)]
             for text in texts:
                 s = shingle(text.as_py())
                 node, n = node_of(s), len(s)
@@ -180,7 +181,7 @@ def prefixes(docs: DataFrame, often: np.ndarray, df: np.ndarray, threshold: Frac
                 first = n - int(-(-threshold * n // 1)) + 1
                 s, counts = in_order(s, often, df)
                 parts = counts[:first] // PART + 1
-                for column, x in zip(rows, (s[:first].view(np.int64), np.full(first, node), np.full(first, n), node % parts, parts), strict=True):
+                for column, x in zip(rows, (s[:first].view(np.int64), np.full(first, node), np.full(first, n), np.arange(first), node % parts, parts), strict=True):
                     column.append(x)
             yield _batch(schema, [np.concatenate(c) if c else [] for c in rows])
 
@@ -259,12 +260,13 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     alike = lambda na, nb: (q * F.col(na) >= p * F.col(nb)) & (q * F.col(nb) >= p * F.col(na))
     after = lambda n: F.ceil(F.lit(p) * F.col(n) / F.lit(q)) - 1  # noqa: E731  shingles after the prefix
     # shingles that linked sets of these sizes have in both prefixes: of their overlap, what the rest can't hold
-    in_prefixes = lambda na, nb: F.ceil(F.lit(p) * (F.col(na) + F.col(nb)) / F.lit(p + q)) - F.greatest(after(na), after(nb))
+    overlap = lambda na, nb: F.ceil(F.lit(p) * (F.col(na) + F.col(nb)) / F.lit(p + q))  # noqa: E731  least of linked sets
+    in_prefixes = lambda na, nb: overlap(na, nb) - F.greatest(after(na), after(nb))
     as_pair = lambda df, x, nx, y, ny: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(F.col(x) < F.col(y), F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(F.col(x) < F.col(y), F.col(ny)).otherwise(F.col(nx)).alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
 
     lists = Window.partitionBy("shingle", "salt")
     prefix = prefixes(docs, *frequent(counts), t).select("*", F.min("node").over(lists).alias("low"), F.max("node").over(lists).alias("high"), F.count("*").over(lists).alias("among"))
-    shared = common.written(prefix.where((F.col("low") != F.col("high")) | (F.col("parts") > 1)).groupBy("shingle", "node", "n").agg(F.max("among").alias("among")), "lists")
+    shared = common.written(prefix.where((F.col("low") != F.col("high")) | (F.col("parts") > 1)).groupBy("shingle", "node", "n", "at").agg(F.max("among").alias("among")), "lists")
     weight = shared.groupBy("node").agg(F.sum("among").alias("weight"))
     heads = shared.join(weight, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("head"))
     stars = shared.join(heads, "shingle").select("node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")).where((F.col("node") != F.col("head")) & alike("n", "head_n"))
@@ -276,16 +278,19 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     first = common.written(links(stars, sets, t), "links")
     labels = components(first)
 
-    placed = shared.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(labels, "node", "left").select("shingle", "node", "n", "at", F.coalesce("component", "node").alias("component"))
     apart = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
     open_lists = common.written(placed.join(apart, "shingle"), "open-lists")
-    # Linked nodes meet in m = in_prefixes lists or more. In one order of the lists, longest first, the m-th of those
-    # is the m-th or a later list of either node: only there are pairs made.
+    # Linked nodes meet in m = in_prefixes lists or more whose shingle is so early in both sets that an overlap is left
+    # for it. In one order of the lists, longest first, the m-th of those is the m-th or a later list of either node:
+    # only there are pairs made.
     order = Window.partitionBy("node").orderBy(F.desc("size"), "shingle")
     ranked = open_lists.join(open_lists.groupBy("shingle").agg(F.count("*").alias("size")), "shingle").withColumn("k", F.row_number().over(order))
-    x, y = (ranked.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "n", "component", "k"))) for v in "xy")
-    late = F.least("k_x", "k_y") >= in_prefixes("n_x", "n_y")
-    rest = x.join(y, "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike("n_x", "n_y") & late)
+    x, y = (ranked.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "n", "at", "component", "k"))) for v in "xy")
+    m = in_prefixes("n_x", "n_y")
+    early = F.greatest(F.col("at_x") - F.col("n_x"), F.col("at_y") - F.col("n_y")) < m - overlap("n_x", "n_y")
+    late = F.least("k_x", "k_y") >= m
+    rest = x.join(y, "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike("n_x", "n_y") & early & late)
     rest = common.written(as_pair(rest, "node_x", "n_x", "node_y", "n_y").join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     new = ends(rest).join(sets.select("node"), "node", "left_anti")
     more = common.written(fragments(docs, named.join(new, "node", "left_semi").select("doc_id")), "fragments")

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempestry.llm import common
 from tempestry.llm.tokens import WordCachedEncoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -124,6 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
         windows.finish()
         yield closed()
 
+    common.short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, PIECES)
 
 

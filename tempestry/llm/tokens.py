@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -12,13 +13,21 @@ import numpy as np
 SPACE = "Ġ"
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
+
+
 class WordCachedEncoder:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer is byte-level, as little-endian uint32 bytes.
 
     That pre-tokenizer always starts a new token at a space between two characters that aren't white space, so a
     text is cut there, each word that isn't in the cache is encoded, and the words' ids are joined. New words are
-    encoded together, as one text; each of them starts at the only token with a space in front. A full stop or comma
-    after nothing but letters is a token of its own, so such words share the ids of their letters. A text with any
+    encoded together, as one text; each of them starts at the only token with a space in front. Words of letters alone
+    are one unit to the pre-tokenizer and go to the same model without it. A full stop or comma after nothing but
+    letters is a token of its own, so such words share the ids of their letters. A text with any
     other white space next to a space is encoded as one. Of the cache's two halves the older one is dropped when the
     newer one is full, less the words used since. ``None`` is an empty text. Strings of special tokens within a text
     are ordinary text.
@@ -27,7 +36,7 @@ class WordCachedEncoder:
     odd_space = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
     odd_pair = re.compile(r"\s | \s").search
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
@@ -35,6 +44,8 @@ class WordCachedEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        plain = json.loads(self.tokenizer.to_str()) | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.letters, self.byte_letters = Tokenizer.from_str(json.dumps(plain)), {b: c for b, c in byte_letters().items() if b != 32}
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
@@ -55,16 +66,28 @@ class WordCachedEncoder:
         fresh = fresh.difference(kept := [w for w in fresh if w in older])
         words.update(zip(kept, map(older.__getitem__, kept), strict=True))
         marked = {w for w in fresh if w[-1] in self.marks and w[:-1].isalpha()}
-        plain = list((fresh - marked).union(w[:-1] for w in marked).difference(words))
-        if plain:
-            ids = self.whole(" " + " ".join(plain))
-            edges = np.flatnonzero(self.starts[ids]).tolist()
-            if len(edges) != len(plain):
-                raise ValueError("the tokenizer doesn't start a token at each space; a byte-level one is needed")
-            joined, edges = ids.tobytes(), [4 * e for e in edges] + [4 * len(ids)]
-            words.update(zip(plain, map(joined.__getitem__, map(slice, edges, edges[1:])), strict=True))
+        plain = (fresh - marked).union(w[:-1] for w in marked).difference(words)
+        alone = [w for w in plain if w.isalpha()]
+        if alone:
+            text = f" {' '.join(alone)}"
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.byte_letters)
+            self.keep(alone, self.letters, text.replace(" ", f" {SPACE}"))
+        if len(alone) < len(plain):
+            rest = [w for w in plain if not w.isalpha()]
+            self.keep(rest, self.tokenizer, f" {' '.join(rest)}")
         words.update((w, words[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
+    def keep(self, words: list[str], tokenizer: object, text: str) -> None:
+        """Caches the words' ids from those of their joined text."""
+        (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        edges = np.flatnonzero(self.starts[ids]).tolist()
+        if len(edges) != len(words):
+            raise ValueError("the tokenizer doesn't start a token at each space; a byte-level one is needed")
+        joined, edges = ids.tobytes(), [4 * e for e in edges] + [4 * len(ids)]
+        self.words.update(zip(words, map(joined.__getitem__, map(slice, edges, edges[1:])), strict=True))
+
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """One bytes object for each text."""
         cut = [None if not t or t[0] == " " or t[-1] == " " or self.uneven(t) else t.split(" ") for t in texts]
