@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempestry.plans import frames, pixels, records, registry, streams, tracks  # noqa: F401  importing a module registers its queries
+from tempestry.plans import analyses, frames, pixels, records, registry, streams, tracks  # noqa: F401  importing a module registers its queries
 
 
 def queries() -> dict[str, registry.Query]:
