@@ -8,8 +8,8 @@ shingles; a pair's overlap is counted in each fragment by itself and summed over
 Pairs are never listed within a group of copies. First every node of a list is compared with the list's best
 connected node only, if the two meet often; what links is a component. Then the pairs of a list whose ends are still
 in different components are compared, all of them, less those that their sizes or the number of prefix shingles they
-share rule out: what isn't in both prefixes is at most the rest of one of the sets. Links within a component can't
-change the groups any more, so the groups are exact.
+share rule out (what isn't in both prefixes is at most the rest of one of the sets), or the parities of their
+shingles. Links within a component can't change the groups any more, so the groups are exact.
 """
 
 from __future__ import annotations
@@ -79,6 +79,16 @@ def node_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+PARITIES = ("p0", "p1", "p2", "p3")
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """256 bits as four integers: whether the set has an odd number of shingles of each of 256 classes. Two sets differ
+    in at least as many shingles as their parities differ in bits."""
+    odd = (np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     common.short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -97,9 +107,9 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 
 
 def signatures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of each row; and (shingle, df): shingles that tasks met in several nodes, with
-    counts that may be too low where a task met one only once."""
-    schema = "doc_id long, n_shingles long, node long, shingle long, df long"
+    """(doc_id, n_shingles, node, its parities) of each row; and (shingle, df): shingles that tasks met in several nodes,
+    with counts that may be too low where a task met one only once."""
+    schema = "doc_id long, n_shingles long, node long, p0 long, p1 long, p2 long, p3 long, shingle long, df long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, held, n, seen = Shingler(), [], 0, set()
@@ -109,13 +119,14 @@ def signatures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             found, counts = found[counts > 1].view(np.int64), counts[counts > 1]
             held.clear()
             none = [None] * len(found)
-            return _batch(schema, [none, none, none, found, counts])
+            return _batch(schema, [*[none] * 7, found, counts])
 
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, odd = [], [], []
             for text in batch.column(1):
                 s = shingle(text.as_py())
                 node = node_of(s)
+                odd.append(parities(s))
                 sizes.append(len(s))
                 nodes.append(node)
                 if node not in seen:
@@ -127,12 +138,13 @@ def signatures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     n = 0
                     seen.clear()
             none = [None] * len(nodes)
-            yield _batch(schema, [batch.column(0), sizes, nodes, none, none])
+            words = np.array(odd, dtype=np.int64).reshape(-1, 4)
+            yield _batch(schema, [batch.column(0), sizes, nodes, *(words[:, i] for i in range(4)), none, none])
         yield counted()
 
     table = common.written(_texts(docs).mapInArrow(task, schema), "signatures")
     counts = table.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
-    return table.where("node is not null").select("doc_id", "n_shingles", "node"), counts
+    return table.where("node is not null").select("doc_id", "n_shingles", "node", *PARITIES), counts
 
 
 def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +284,7 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     stars = shared.join(heads, "shingle").select("node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")).where((F.col("node") != F.col("head")) & alike("n", "head_n"))
     stars = common.written(as_pair(stars, "node", "n", "head", "head_n").where(2 * F.col("met") >= in_prefixes("na", "nb")), "stars")
 
-    named = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")), "nodes")
+    named = common.written(rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"), *(F.min(x).alias(x) for x in PARITIES)), "nodes")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = common.written(fragments(docs, named.join(ends(stars), "node", "left_semi").select("doc_id")), "fragments")
     first = common.written(links(stars, sets, t), "links")
@@ -286,11 +298,14 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
     # only there are pairs made.
     order = Window.partitionBy("node").orderBy(F.desc("size"), "shingle")
     ranked = open_lists.join(open_lists.groupBy("shingle").agg(F.count("*").alias("size")), "shingle").withColumn("k", F.row_number().over(order))
-    x, y = (ranked.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "n", "at", "component", "k"))) for v in "xy")
+    ranked = ranked.join(named.select("node", *PARITIES), "node")
+    x, y = (ranked.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "n", "at", "component", "k", *PARITIES))) for v in "xy")
     m = in_prefixes("n_x", "n_y")
     early = F.greatest(F.col("at_x") - F.col("n_x"), F.col("at_y") - F.col("n_y")) < m - overlap("n_x", "n_y")
     late = F.least("k_x", "k_y") >= m
-    rest = x.join(y, "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike("n_x", "n_y") & early & late)
+    differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in PARITIES), F.lit(0))
+    close = differ <= F.col("n_x") + F.col("n_y") - 2 * overlap("n_x", "n_y")
+    rest = x.join(y, "shingle").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike("n_x", "n_y") & early & late & close)
     rest = common.written(as_pair(rest, "node_x", "n_x", "node_y", "n_y").join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     new = ends(rest).join(sets.select("node"), "node", "left_anti")
     more = common.written(fragments(docs, named.join(new, "node", "left_semi").select("doc_id")), "fragments")
