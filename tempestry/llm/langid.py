@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tempestry.llm import common
 
 GRAMS = 1 << 14
+#: Languages whose counts are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: ASCII characters that aren't letters become spaces, A-Z lower case; the bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -74,7 +76,8 @@ def fit(labelled: DataFrame, sample: int = 300, centroids: int = 4, strictness:
     strictness: a text is rejected below this share of the least cosine of the sample's texts of its length class.
     """
     usable = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    share = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    share = common.written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share  # else texts would meet by language, a few keys
     drawn = usable.withColumn("drawn", F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).join(share, "lang").where(F.col("drawn") < sample / F.col("n"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
