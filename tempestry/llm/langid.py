@@ -82,9 +82,16 @@ def fit(labelled: DataFrame, sample: int = 300, centroids: int = 4, strictness:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, c) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(text) for c in [gram_counts(text)]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([np.flatnonzero(r[1]).astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[1][r[1] > 0].astype("<f4").tobytes() for r in rows], pa.binary())], ["lang", "grams", "counts"])
-
+            rows: list[list] = [[], [], []]
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                if has_letter(text.as_py()):
+                    counts = gram_counts(text.as_py())
+                    grams = np.flatnonzero(counts)
+                    for column, value in zip(rows, (lang.as_py(), grams.astype("<i4").tobytes(), counts[grams].astype("<f4").tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "grams", "counts"])
+
+    common.short_batches(labelled.sparkSession)
     rows = drawn.select("lang", "text").mapInArrow(task, "lang string, grams binary, counts binary").collect()
     if not rows:
         return None
