@@ -46,12 +46,15 @@ NAMES = frozenset(
     "promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar topbar widget widgets contentinfo complementary".split()
 )
+#: Elements whose content is characters up to their own end tag, whatever it looks like.
+RAW = frozenset("script style noscript iframe textarea title".split())
 #: An end tag that is missing is implied where one of these starts.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
 SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -71,8 +74,9 @@ def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
             if joined:
                 yield "/".join(s[1] for s in stack[-4:]), joined, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], ""
 
-    silent = None
-    for m in TOKEN.finditer(html):
+    silent, at = None, 0
+    while m := TOKEN.match(html, at):
+        at = m.end()
         closing, element, attributes, chars = m.groups()
         if element is None:
             if chars and silent is None:
@@ -81,6 +85,14 @@ def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
                 text.append(m.group(0)[9:].removesuffix("]]>"))
             continue
         element = element.lower()
+        title = ""
+        if element in RAW and not closing and not attributes.endswith("/"):
+            end = RAW_END[element].search(html, at)
+            if element != "title":
+                at = end.end() if end else len(html)
+                continue
+            if end:  # an unclosed title is read on as markup
+                title, at = html[at : end.start()], end.start()
         if silent is not None:
             if closing and element == silent:
                 silent = None
@@ -95,9 +107,9 @@ def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
             continue
         yield from flush()
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == element), None)
-            if at is not None:
-                del stack[at:]
+            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == element), None)
+            if opened is not None:
+                del stack[opened:]
             yield "/".join(s[1] for s in stack[-4:]), None, False, False, f"/{element}"
             continue
         if element in VOID or element == "hr":
@@ -111,6 +123,8 @@ def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
         chrome = around[2] or element in CHROME and not (element == "header" and within) or any(n.lower() in NAMES and not (within and n.lower() == "header") for n in names) and element not in ("html", "body", "main") or bool(attributes and HIDDEN.search(attributes))
         stack.append((element, name, chrome, around[3] or (element in CONTENT and not chrome)))
         yield "/".join(s[1] for s in stack[-4:]), None, False, False, element
+        if title:
+            text.append(title)
     yield from flush()
 
 

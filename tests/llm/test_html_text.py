@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tempestry.llm import html_text
 from tests.llm import corpus
 
@@ -45,3 +47,13 @@ def test_templates_are_ordered(spark):
     order = {html_text.token_hash(p, t, tag): k for k, (p, t, _, _, tag) in enumerate(html_text.blocks(page(rng, 1)[0]))}
     places = [order[t] for t in row.template if t in order]
     assert row.host == "a.example" and len(places) > 10 and places == sorted(places)
+
+
+def test_raw_text_ends_at_its_own_end_tag():
+    scripts = ("for(i=0;i<n;i++)f(i);", "<!-- x", "<![CDATA[ x", "if(a<b)\"", "s='<p title=\"</p>'")
+    for script in scripts:
+        for element, end in (("script", "</SCRIPT >"), ("style", "</style\n\">"), ("textarea", "</textarea>"), ("noscript", "</noscript>"), ("title", "</title>")):
+            html = f"<html><head><title>t</title></head><body><article><p>one</p><svg><{element} a='b'>{script}{end}</svg><{element} a='b'>{script}{end}<p>two</p></article></body></html>"
+            found = html_text.page_text(html, np.array([], dtype=np.int64))
+            assert found == "one\ntwo", (element, script, found)
+    assert html_text.page_text("<p>one</p><script>i<n", np.array([], dtype=np.int64)) == "one"
