@@ -9,7 +9,8 @@
 3. A page's blocks that aren't the template's own text are its slots. Slots in a part of the page that its tags name
    as a menu, header, footer, advert, form, comments or the like are dropped, and if the template or page has an
    article or main part, so are those outside it; the rest is the text. Template text within that part (share
-   buttons, notices) goes too, unless nothing else is there: then the page is a copy, not a frame around nothing.
+   buttons, notices) goes too, unless nothing else is there or it holds most of an article: then the page is a copy or
+   near copy of others, not a frame around nothing.
 """
 
 from __future__ import annotations
@@ -203,9 +204,12 @@ def page_text(html: str | None, template: np.ndarray) -> str:
     for path, text, chrome, content, tag in blocks(html or ""):
         if text is not None and not chrome:
             slots.append((content, token_hash(path, text, tag) in known, text))
-    if any(content for content, _, _ in slots):
+    article = any(content for content, _, _ in slots)
+    if article:
         slots = [s for s in slots if s[0]]
     own = [text for _, framed, text in slots if not framed]
+    if article and 2 * sum(map(len, own)) < sum(len(text) for _, _, text in slots):
+        own = []
     return "\n".join(own or [text for _, _, text in slots])
 
 

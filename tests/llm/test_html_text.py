@@ -57,3 +57,15 @@ def test_raw_text_ends_at_its_own_end_tag():
             found = html_text.page_text(html, np.array([], dtype=np.int64))
             assert found == "one\ntwo", (element, script, found)
     assert html_text.page_text("<p>one</p><script>i<n", np.array([], dtype=np.int64)) == "one"
+
+
+def test_near_copies_are_whole(spark):
+    rng = random.Random(3)
+    w = lambda n: " ".join(corpus.words(rng, n))
+    shared, rows, texts = [w(30) for _ in range(6)], [], {}
+    for i in range(20):
+        parts = [*shared[:3], w(25), *shared[3:]]
+        rows.append((i, f"http://near.example/{i}", f"<html><body><nav>menu</nav><article><h1>One title</h1>{''.join(f'<p>{x}</p>' for x in parts)}</article><footer>foot</footer></body></html>"))
+        texts[i] = "\n".join(["One title", *parts])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == texts
