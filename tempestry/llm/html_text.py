@@ -4,8 +4,8 @@
    each token occurs in each page of its host is its occurrence vector. Vectors are only compared, so each is summed
    up as two hash sums over its (page, count) pairs; tasks sum before anything is shuffled.
 2. Tokens of a host with the same vector are an equivalence class. Classes of MEMBERS tokens or more in SUPPORT of
-   the host's pages or more are valid; ordered by where their tokens stand and nested in one another they are the
-   host's template. A host of fewer than PAGES pages has none.
+   the host's pages or more are valid; ordered by where their tokens stand they are the host's template. A host of
+   fewer than PAGES pages has none, since two pages that share a block may as well share what they say.
 3. A page's blocks that aren't the template's own text are its slots. Slots in a part of the page that its tags name
    as a menu, header, footer, advert, form, comments or the like are dropped, and if the template or page has an
    article or main part, so are those outside it; the rest is the text. Template text within that part (share
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tempestry.llm import common
 
-MEMBERS, SUPPORT, PAGES = 3, 0.8, 10
+MEMBERS, SUPPORT, PAGES = 3, 0.8, 3
+#: Template text of so many characters stays on a page without an article if template text is most of the page.
+PROSE = 80
 #: Templates are broadcast up to so many tokens of all hosts (8 bytes each) and joined by host beyond.
 BROADCAST_TOKENS = 500_000
 #: Running sums a task holds before it hands them on.
@@ -56,16 +58,18 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
+ROOT = ("", "", False, False, 0, 0)
 SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
-def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
-    """Tags and text blocks of a page in order: (path, text or None for a tag, chrome, in an article or main, last tag).
+def blocks(html: str) -> Iterator[tuple[str, str | None, int, bool, str]]:
+    """Tags and text blocks of a page in order: (path, text or None for a tag, marks, in an article or main, last tag).
 
-    path names the open block elements with their classes. References are decoded, white space within a block is
+    marks is -1 for chrome, else how many elements with a name of chrome are, or are around, the innermost article or
+    main: a name there may speak of what stands beside the article (has-sidebar, comment-open). path names the open block elements with their classes. References are decoded, white space within a block is
     one space; blocks without text are left out. Unclosed elements end where HTML implies it, a cut page anywhere.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # element, its name in the path, whether it and those around are chrome, content
+    stack: list[tuple[str, str, bool, bool, int, int]] = []  # element, its name in the path, whether it and those around are chrome, content; names of chrome to here, to the article
     text: list[str] = []
 
     def flush() -> Iterator[tuple]:
@@ -73,7 +77,8 @@ def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
             joined = " ".join(unescape("".join(text)).split())
             text.clear()
             if joined:
-                yield "/".join(s[1] for s in stack[-4:]), joined, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], ""
+                _, _, chrome, content, named, outer = stack[-1] if stack else ROOT
+                yield "/".join(s[1] for s in stack[-4:]), joined, -1 if chrome or named > outer else named, content, ""
 
     silent, at = None, 0
     while m := TOKEN.match(html, at):
@@ -111,7 +116,7 @@ def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
             opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == element), None)
             if opened is not None:
                 del stack[opened:]
-            yield "/".join(s[1] for s in stack[-4:]), None, False, False, f"/{element}"
+            yield "/".join(s[1] for s in stack[-4:]), None, 0, False, f"/{element}"
             continue
         if element in VOID or element == "hr":
             continue
@@ -119,11 +124,12 @@ def blocks(html: str) -> Iterator[tuple[str, str | None, bool, bool, str]]:
             stack.pop()
         names = [n for found in NAMED.findall(attributes) for n in SPLIT.split("".join(found)) if n] if "=" in attributes else []
         name = f"{element}.{'.'.join(names)}" if names else element
-        around = stack[-1] if stack else ("", "", False, False)
+        around = stack[-1] if stack else ROOT
         within = any(s[0] in CONTENT for s in stack)
-        chrome = around[2] or element in CHROME and not (element == "header" and within) or any(n.lower() in NAMES and not (within and n.lower() == "header") for n in names) and element not in ("html", "body", "main") or bool(attributes and HIDDEN.search(attributes))
-        stack.append((element, name, chrome, around[3] or (element in CONTENT and not chrome)))
-        yield "/".join(s[1] for s in stack[-4:]), None, False, False, element
+        chrome = around[2] or element in CHROME and not (element == "header" and within) or bool(attributes and HIDDEN.search(attributes))
+        named = around[4] + (any(n.lower() in NAMES and not (within and n.lower() == "header") for n in names) and element not in ("html", "body", "main"))
+        stack.append((element, name, chrome, around[3] or (element in CONTENT and not chrome), named, named if element in CONTENT else around[5]))
+        yield "/".join(s[1] for s in stack[-4:]), None, 0, False, element
         if title:
             text.append(title)
     yield from flush()
@@ -186,7 +192,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host, template: the hashes of its tokens in their order; hosts without a template are left out.
 
-    Classes are nested by the mean place of their tokens: an inner class's tokens lie between two of an outer one's.
+    Tokens stand by their mean place. Whether classes nest isn't checked, and page_text takes the tokens as a set.
     """
     sums = common.written(occurrences(pages), "occurrences")
     hosts = sums.where("token = 0").select("host", F.col("pages").alias("of")).where(F.col("of") >= PAGES)
@@ -198,18 +204,28 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def page_text(html: str | None, template: np.ndarray) -> str:
-    """Text of the page: its slots, one block a line."""
+    """Text of the page: its slots, one block a line.
+
+    An article with a name of chrome on or around it counts if it's longer than all that is marked less, or if a single
+    one is named on a page without an unmarked article.
+    """
     known = set(template.tolist())
-    slots: list[tuple[bool, bool, str]] = []
-    for path, text, chrome, content, tag in blocks(html or ""):
-        if text is not None and not chrome:
-            slots.append((content, token_hash(path, text, tag) in known, text))
+    found: dict[int, list[tuple[int, bool, bool, str]]] = defaultdict(list)
+    for i, (path, text, marks, content, tag) in enumerate(blocks(html or "")):
+        if text is not None and marks >= 0:
+            found[marks].append((i, content, token_hash(path, text, tag) in known, text))
+    taken = found.pop(0, [])
+    if any(content for _, content, _, _ in taken):
+        taken = [s for s in taken if s[1]]
+    plain = not any(content for _, content, _, _ in taken)
+    for marks in sorted(found):
+        if marks == 1 and plain or sum(len(s[3]) for s in found[marks]) > sum(len(s[3]) for s in taken):
+            taken = sorted(taken + found[marks])
+    slots = [s[1:] for s in taken]
     article = any(content for content, _, _ in slots)
-    if article:
-        slots = [s for s in slots if s[0]]
     own = [text for _, framed, text in slots if not framed]
-    if article and 2 * sum(map(len, own)) < sum(len(text) for _, _, text in slots):
-        own = []
+    if 2 * sum(map(len, own)) < sum(len(text) for _, _, text in slots):
+        own = [text for _, framed, text in slots if article or not framed or len(text) >= PROSE]
     return "\n".join(own or [text for _, _, text in slots])
 
 

@@ -69,3 +69,32 @@ def test_near_copies_are_whole(spark):
         texts[i] = "\n".join(["One title", *parts])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == texts
+
+
+def test_small_hosts_have_templates(spark):
+    rng = random.Random(6)
+    w = lambda n: " ".join(corpus.words(rng, n))
+    rows, texts = [], {}
+    for i in range(3):
+        parts = [w(30), w(30)]
+        rows.append((i, f"http://small.example/{i}", f"<html><body><article><h1>Title {i}</h1><p>{parts[0]}</p><div>Share this page now</div><p>{parts[1]}</p></article></body></html>"))
+        texts[i] = "\n".join([f"Title {i}", *parts])
+    shared = [w(30) for _ in range(4)]
+    for i in range(3):
+        rows.append((10 + i, f"http://plain.example/{i}", f"<html><body><div>menu</div><p>{shared[0]}</p><p>Number {i}</p>{''.join(f'<p>{x}</p>' for x in shared[1:])}</body></html>"))
+        texts[10 + i] = "\n".join([shared[0], f"Number {i}", *shared[1:]])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == texts
+
+
+def test_names_around_an_article():
+    text = lambda html: html_text.page_text(html, np.array([], dtype=np.int64))
+    article, comment = "<h1>One</h1><p>two three four five six</p><div class='share'>share</div>", "<p>six</p>"
+    whole = "One\ntwo three four five six"
+    assert text(f"<div class='has-sidebar'><article>{article}</article></div>") == whole
+    assert text(f"<article class='comment-open'>{article}</article><aside>x</aside>") == whole
+    assert text(f"<main><div class='has-sidebar'><article class='comment-open'>{article}</article></div></main>") == whole
+    assert text(f"<div class='has-sidebar'><article>{article}</article><div class='widget'>x</div><section class='comments'><article class='comment-body'>{comment}</article></section></div>") == whole
+    assert text(f"<article>{article}</article><section class='comments'><article class='comment-body'>{comment}</article></section>") == whole
+    assert text(f"<div>{article}</div><section class='comments'><article class='comment-body'>{comment}</article></section>") == whole
+    assert text(f"<nav><article>{article}</article></nav><div class='share'>x</div>") == ""
