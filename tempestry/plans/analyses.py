@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.operators import asof, graph, profiles, stencils
+from tempestry.operators import asof, graph, neighbours, profiles, stencils
 from tempestry.plans.pixels import _WVIR, storm
 from tempestry.plans.registry import Tables, clip, distance, query, wrap
 from tempestry.plans.tracks import _BRACKET, _LON
@@ -161,6 +161,14 @@ def fill_invalid_nearest(t: Tables) -> DataFrame:
     return bad.join(good, stencils.CELL).groupBy(*stencils.CELL).agg(F.min_by("v37", F.struct("d", "r", "c")).alias("filled"), F.min("d").alias("d2"))
 
 
+@query("""WITH x AS (SELECT frame_id, pr, pc, v37 FROM pixel),
+m AS (SELECT b.frame_id, b.pr, b.pc, g.v37, (b.pr - g.pr) * (b.pr - g.pr) + (b.pc - g.pc) * (b.pc - g.pc) AS d, g.pr AS r, g.pc AS c FROM x b LEFT JOIN x g ON g.frame_id = b.frame_id AND g.v37 IS NOT NULL WHERE b.v37 IS NULL)
+SELECT frame_id, pr, pc, arg_min(v37, (d, r, c)) AS filled, CAST(min(d) AS BIGINT) AS d2 FROM m GROUP BY 1, 2, 3""")
+def fill_invalid_whole(t: Tables) -> DataFrame:
+    """All missing pixels from the nearest valid one of their frame, at any distance; missing still where it has none."""
+    return neighbours.nearest_valid(t.pixel, "v37")
+
+
 @query("""WITH r AS (SELECT frame_id, ir, row_number() OVER (PARTITION BY frame_id ORDER BY ir DESC, pr, pc) AS n, count(*) OVER (PARTITION BY frame_id) AS k FROM pixel)
 SELECT frame_id, round(sum(ir) FILTER (n <= greatest(1, CAST(floor(0.1 * k) AS BIGINT))) / sum(ir), 6) AS concentration FROM r GROUP BY 1""")
 def concentration(t: Tables) -> DataFrame:

@@ -218,14 +218,26 @@ m AS (SELECT x.frame_id, x.pr, x.pc, p.v37, round({_D2}, 9) AS d, p.pr AS r, p.p
 b AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pr, pc ORDER BY d, r, c) AS n FROM m)
 SELECT frame_id, pr, pc, v37, round(d, 6) AS degrees, round({clip('1 - (d - 0.05) / 0.15', 0, 1)}, 5) AS feather FROM b WHERE n = 1""")
 def knn_regrid(t: Tables) -> DataFrame:
-    """Nearest pixel of another grid within a quarter of a degree, and the feather of its distance."""
-    p = t.pixel.where("frame_id = 0")
+    """Nearest pixel of another grid within a quarter of a degree, and the feather of its distance; the first frame only."""
+    return _regrid(t.pixel.where("frame_id = 0"))
+
+
+def _regrid(p: DataFrame) -> DataFrame:
     targets = p.select("frame_id", "pr", "pc", (F.col("lat") + 0.03).alias("lat"), (F.col("lon") + 0.04).alias("lon"))
     d = F.round(F.sqrt(F.pow(F.col("slat") - F.col("lat"), 2) + F.pow(C.lon_delta(F.col("lon"), F.col("slon")), 2)), 9)
     found = neighbours.nearest(targets, p.where("v37 is not null"), ["frame_id"], ["pr", "pc"], ["pr", "pc"], d, 0.25, 0.25, ["v37"])
     return found.select("frame_id", "pr", "pc", "v37", F.round("d", 6).alias("degrees"), F.round(C.clip(1 - (F.col("d") - 0.05) / 0.15, 0, 1), 5).alias("feather"))
 
 
+@query(f"""WITH x AS (SELECT frame_id, pr, pc, lat + 0.03 AS lat, lon + 0.04 AS lon FROM pixel), p AS (SELECT frame_id, pr, pc, lat, lon, v37 FROM pixel WHERE v37 IS NOT NULL),
+m AS (SELECT x.frame_id, x.pr, x.pc, p.v37, round({_D2}, 9) AS d, p.pr AS r, p.pc AS c FROM x JOIN p ON x.frame_id = p.frame_id WHERE {_D2} <= 0.25),
+b AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pr, pc ORDER BY d, r, c) AS n FROM m)
+SELECT frame_id, pr, pc, v37, round(d, 6) AS degrees, round({clip('1 - (d - 0.05) / 0.15', 0, 1)}, 5) AS feather FROM b WHERE n = 1""")
+def knn_regrid_frames(t: Tables) -> DataFrame:
+    """knn_regrid over every frame."""
+    return _regrid(t.pixel)
+
+
 @query("""SELECT storm_id, fix_id, count(*) OVER w AS held, round(avg(vmax_kt) OVER w, 5) AS mean_vmax, round(max(vmax_kt) OVER w, 1) AS max_vmax FROM track WINDOW w AS (PARTITION BY storm_id ORDER BY valid_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def history_window(t: Tables) -> DataFrame:
     """The last twelve results of each storm, as running figures."""

@@ -6,7 +6,7 @@ from statistics import mean
 import numpy as np
 import pytest
 
-from tempestry.operators import graph
+from tempestry.operators import graph, neighbours
 from tempestry.plans import analyses, catalogue
 
 
@@ -53,3 +53,24 @@ def test_center_fix(spark):
         expected[f] = (len(core), pytest.approx(mean(p.pr for p in core), abs=1e-3), pytest.approx(mean(p.pc for p in core), abs=1e-3))
     found = {r.frame_id: (r.n, r.row, r.col) for r in catalogue.queries()["center_fix"](spark, folder).collect()}
     assert found == expected
+
+
+def test_missing_pixels_are_filled_at_any_distance(spark):
+    rng = random.Random(9)
+    cells = [(f, r, c, float(rng.randrange(100)) if (f < 2 and rng.random() < (0.3, 0.004)[f]) or (f, r, c) == (1, 39, 39) else None) for f in range(3) for r in range(40) for c in range(40)]
+    good = {f: [x for x in cells if x[0] == f and x[3] is not None] for f in range(3)}
+    expected = {}
+    for f, r, c, v in cells:
+        if v is None:
+            d, _, _, w = min((((r - y) ** 2 + (c - x) ** 2, y, x, w) for _, y, x, w in good[f]), default=(None, None, None, None))
+            expected[f, r, c] = (w, d)
+    df = spark.createDataFrame(cells, "frame_id long, pr long, pc long, v double")
+    found = neighbours.nearest_valid(df, "v").collect()
+    assert len(found) == len(expected) and {(r.frame_id, r.pr, r.pc): (r.filled, r.d2) for r in found} == expected
+    assert max(d for _, d in expected.values() if d) > 64
+
+
+def test_regrid_takes_every_frame(spark):
+    folder = "/root/testdata/sf0.001"
+    frames = {r.frame_id for r in analyses.Tables(spark, folder).pixel.select("frame_id").distinct().collect()}
+    assert {r.frame_id for r in catalogue.queries()["knn_regrid_frames"](spark, folder).select("frame_id").distinct().collect()} == frames and len(frames) > 1
