@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
@@ -140,9 +140,31 @@ def env_encode(t: Tables) -> DataFrame:
 SELECT user_id, len(v) AS n, round(list_reduce(list_prepend(0.0::DOUBLE, v), lambda a, x: greatest(-40, least(40, 0.85 * a + 0.15 * (x - 50)))), 5) AS offset_k FROM s""")
 def ema_offset(t: Tables) -> DataFrame:
     """Calibration offset of each key: an ordered fold, clamped to 40 K."""
-    s = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.round("value").alias("v")))).alias("s"))
-    fold = F.aggregate("s", F.lit(0.0), lambda a, x: F.greatest(F.lit(-40.0), F.least(F.lit(40.0), 0.85 * a + 0.15 * (x["v"] - 50))))
-    return s.select("user_id", F.size("s").cast("long").alias("n"), F.round(fold, 5).alias("offset_k"))
+    s = clamped_fold(t.events.select("user_id", "ts", "event_id", F.round("value").cast("double").alias("v")))
+    return s.select("user_id", "n", F.round(F.greatest("low", F.least("high", "shift")), 5).alias("offset_k"))
+
+
+def clamped_fold(events: DataFrame, run: int = 1024) -> DataFrame:
+    """user_id, n, scale, shift, low, high: a -> clamp(scale a + shift, low, high), all of a user's steps in order.
+
+    Steps compose to such a map again. They are sorted by ranges over all users, and folded in runs of so many rows, then
+    runs of runs, so a key's rows are in many tasks and no row holds more than a run, or run ** -2 of a key's rows.
+    """
+    order = ["user_id", "ts", "event_id", "v"]
+    step = lambda x, null: F.when(F.col("v").isNull(), F.lit(null)).otherwise(x)  # noqa: E731  greatest and least pass over a missing value: it gives 40
+    maps = events.repartitionByRange(*order).sortWithinPartitions(*order)
+    maps = maps.select("user_id", F.monotonically_increasing_id().alias("at"), F.lit(1).cast("long").alias("n"), step(F.lit(0.85), 0.0).alias("scale"), step(0.15 * (F.col("v") - 50), 40.0).alias("shift"), F.lit(-40.0).alias("low"), F.lit(40.0).alias("high"))
+    fields = ["scale", "shift", "low", "high"]
+    start = F.struct(*(F.lit(x).alias(f) for f, x in zip(fields, (1.0, 0.0, -40.0, 40.0), strict=True)))
+
+    def then(a: Column, b: Column) -> Column:
+        held = lambda x: F.greatest(b["low"], F.least(b["high"], b["scale"] * x + b["shift"]))
+        return F.struct((b["scale"] * a["scale"]).alias("scale"), (b["scale"] * a["shift"] + b["shift"]).alias("shift"), held(a["low"]).alias("low"), held(a["high"]).alias("high"))
+
+    for keys in (["user_id", F.floor(F.col("at") / run)], ["user_id", F.floor(F.col("at") / run**2)], ["user_id"]):
+        runs = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", *fields))).alias("s"), F.min("at").alias("at"), F.sum("n").alias("n"))
+        maps = runs.select("user_id", "at", "n", F.aggregate("s", start, then).alias("m")).select("user_id", "at", "n", "m.*")
+    return maps.drop("at")
 
 
 @query("SELECT fix_id, CASE WHEN basin = 'AL' THEN 0 ELSE least(4, 1 * (CASE WHEN dv >= 30 THEN 3 ELSE 1 END) * (CASE WHEN fix_id % 25 >= 10 THEN 2 ELSE 1 END)) END AS weight FROM (SELECT *, vmax_kt - lag(vmax_kt) OVER (PARTITION BY storm_id ORDER BY valid_time) AS dv FROM track)")

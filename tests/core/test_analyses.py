@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tempestry.operators import graph, neighbours
-from tempestry.plans import analyses, catalogue
+from tempestry.plans import analyses, catalogue, records
 
 
 def flood(cells):
@@ -74,3 +74,21 @@ def test_regrid_takes_every_frame(spark):
     folder = "/root/testdata/sf0.001"
     frames = {r.frame_id for r in analyses.Tables(spark, folder).pixel.select("frame_id").distinct().collect()}
     assert {r.frame_id for r in catalogue.queries()["knn_regrid_frames"](spark, folder).select("frame_id").distinct().collect()} == frames and len(frames) > 1
+
+
+def test_clamped_fold_in_runs(spark):
+    rng = random.Random(12)
+    rows = [(u, rng.randrange(300), i, rng.choice((None, -9000.0, 9000.0)) if rng.random() < 0.02 else float(rng.randrange(-400, 500))) for u, n in ((1, 6000), (2, 70), (3, 1)) for i in range(n)]
+    expected = {}
+    for u, _, _, v in sorted(rows, key=lambda x: x[:3]):
+        n, a = expected.get(u, (0, 0.0))
+        expected[u] = (n + 1, 40.0 if v is None else max(-40.0, min(40.0, 0.85 * a + 0.15 * (v - 50))))
+    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, v double").repartition(5)
+    for run in (4, 1024):
+        found = {r.user_id: (r.n, max(r.low, min(r.high, r["shift"]))) for r in records.clamped_fold(df, run).collect()}
+        assert found == {u: (n, pytest.approx(a, abs=1e-9)) for u, (n, a) in expected.items()}
+
+
+def test_ema_offset_splits_a_key(spark):
+    plan = catalogue.queries()["ema_offset"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 3 and "RepartitionByExpression" in plan
