@@ -3,7 +3,7 @@
 A text's vector: counts of the two- and three-byte grams of its letters, hashed into GRAMS columns, damped by
 log(1 + n), weighted by idf and normalised. Each language's sample is split into clusters by spherical k-means. A
 text gets the language of the centroid of largest cosine, and is rejected where that cosine is much smaller than
-any that the language's own sample has at such a length.
+those of the language's texts of such a length that its centroids weren't made from.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tempestry.llm import common
 
 GRAMS = 1 << 14
+#: Classes of length by powers of two; texts that a bound is drawn from at least; the quantile of their cosines, its share.
+CLASSES, ENOUGH, LOW, SHARE = 40, 20, 0.02, 0.4
 #: Languages whose counts are broadcast.
 BROADCAST_LANGUAGES = 100_000
 #: ASCII characters that aren't letters become spaces, A-Z lower case; the bytes of other characters stay.
@@ -41,8 +43,8 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """Languages by centroid, centroids weighted by idf, the idf, and the least cosine that isn't rejected for texts of
-    so many grams (by the power of two)."""
+    """Languages by centroid, centroids weighted by idf, the idf, and the least cosine that isn't rejected: for each
+    centroid's language (rows), for texts of so many grams by the power of two (columns)."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -54,8 +56,9 @@ class Model:
         x = np.log1p(counts) * self.idf
         return x @ self.centroids.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
-    def rejects(self, counts: np.ndarray, best: np.ndarray) -> np.ndarray:
-        return best < self.least[np.log2(np.maximum(1, counts.sum(axis=1))).astype(int).clip(0, len(self.least) - 1)]
+    def rejects(self, counts: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        size = np.log2(np.maximum(1, counts.sum(axis=1))).astype(int).clip(0, self.least.shape[1] - 1)
+        return cosines.max(axis=1) < self.least[cosines.argmax(axis=1), size]
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -69,11 +72,35 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarr
     return c
 
 
-def fit(labelled: DataFrame, sample: int = 300, centroids: int = 4, strictness: float = 0.2) -> Model | None:
+def bounds(x: np.ndarray, own: np.ndarray, size: np.ndarray, centroids: int) -> dict[str, np.ndarray]:
+    """Least cosine of each language by size class, from texts (unit rows) with centroids of the other half of the sample.
+
+    SHARE of the LOW quantile of the class, or of all the language's texts if that's less: a single text
+    counts little but where texts are few. A class of fewer than ENOUGH texts takes in its nearest neighbours until it has as many; those shorter than any reject
+    nothing; those longer take the longest one's. No class is stricter than longer ones.
+    """
+    out = {}
+    for lang in np.unique(own):
+        rows = np.flatnonzero(own == lang)
+        best = np.zeros(len(rows))
+        for half in (0, 1):
+            rest = rows[np.arange(len(rows)) % 2 != half]
+            if len(rest):
+                best[half::2] = (x[rows[half::2]] @ clusters(x[rest], centroids).T).max(axis=1)
+        least, sizes = np.zeros(CLASSES), size[rows]
+        for s in range(sizes.min(), sizes.max() + 1):
+            seen = next(f for reach in range(CLASSES) if len(f := best[np.abs(sizes - s) <= reach]) >= min(ENOUGH, len(best)))
+            least[s] = SHARE * min(np.quantile(seen, LOW), np.quantile(best, LOW))
+        least[sizes.max() :] = least[sizes.max()]
+        least = np.minimum.accumulate(least[::-1])[::-1]
+        least[: sizes.min()] = 0
+        out[lang] = least
+    return out
+
+
+def fit(labelled: DataFrame, sample: int = 300, centroids: int = 4) -> Model | None:
     """From labelled (doc_id, text, lang): about ``sample`` texts of each language, by a hash of doc_id and text, so that
     the same rows always give the same model and no language or source is favoured. None without a usable row.
-
-    strictness: a text is rejected below this share of the least cosine of the sample's texts of its length class.
     """
     usable = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     share = common.written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
@@ -103,13 +130,10 @@ def fit(labelled: DataFrame, sample: int = 300, centroids: int = 4, strictness:
     x = np.log1p(counts) * idf
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     own = np.array([r.lang for r in rows])
-    made = [(lang, c) for lang in np.unique(own) for c in clusters(x[own == lang], centroids)]
-    model = Model([lang for lang, _ in made], np.stack([c for _, c in made]).astype(np.float32), idf, np.zeros(40))
-    best, size = model.cosines(counts).max(axis=1), np.log2(counts.sum(axis=1)).astype(int)
-    seen = np.array([best[size == s].min(initial=1) for s in range(40)])
-    model.least = np.minimum.accumulate(seen[::-1])[::-1] * strictness  # no class is stricter than the longer ones
-    model.least[: int(size.min())] = 0  # shorter than any in the sample: nothing to judge by
-    return model
+    made = [(lang, clusters(x[own == lang], centroids)) for lang in np.unique(own)]
+    least = bounds(x, own, np.log2(counts.sum(axis=1)).astype(int), centroids)
+    languages = [lang for lang, c in made for _ in c]
+    return Model(languages, np.concatenate([c for _, c in made]).astype(np.float32), idf, np.stack([least[lang] for lang in languages]))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -131,7 +155,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     cosines = model.cosines(counts)
                     scores[letters] = cosines.max(axis=1).clip(0, 1)
                     names[letters] = np.array(model.languages, dtype=object)[cosines.argmax(axis=1)]
-                    rejected[letters] = model.rejects(counts, scores[letters])
+                    rejected[letters] = model.rejects(counts, cosines)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     common.short_batches(docs.sparkSession)
@@ -154,7 +178,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
                 kept = np.array([model is not None and has_letter(t) for t in texts], dtype=bool)
                 if kept.any():
                     counts = np.stack([gram_counts(t) for t, ok in zip(texts, kept, strict=True) if ok])
-                    kept[kept] = ~model.rejects(counts, model.cosines(counts).max(axis=1).clip(0, 1))
+                    kept[kept] = ~model.rejects(counts, model.cosines(counts))
                 yield part.filter(pa.array(kept))
 
     common.short_batches(docs.sparkSession)

@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -42,3 +43,24 @@ def test_odd_texts(spark):
     assert langid.fit(docs.limit(0)) is None
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
     assert langid.identify(odd.limit(0), model).count() == 0
+
+
+def test_unlearned_texts_are_rejected(spark):
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(folder)
+    model = langid.fit(docs.where(~langid.held_out()))
+    rng = random.Random(1)
+    odd = [
+        "Tänään on kaunis päivä ja lapset leikkivät pihalla koiran kanssa, kun aurinko paistaa kirkkaasti taivaalta.",
+        "Bugün hava çok güzel ve çocuklar bahçede köpekle oynuyorlar, güneş parlak bir şekilde gökyüzünde parlıyor.",
+        "Dzisiaj jest piękny dzień i dzieci bawią się w ogrodzie z psem, gdy słońce świeci jasno na niebie.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(30)),
+        base64.b64encode(bytes(rng.randrange(256) for _ in range(1500))).decode(),
+    ]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert all(r.rejected for r in langid.identify(rows, model).collect())
+    clean = docs.where(langid.held_out())
+    first = clean.selectExpr("doc_id", "substring_index(text, ' ', 12) AS text")  # a short text of each
+    for texts in (clean, first):
+        found = langid.identify(texts, model).where("lang_pred != 'und'").collect()
+        assert len(found) > 200 and sum(r.rejected for r in found) <= 0.01 * len(found), sum(r.rejected for r in found)
