@@ -4,15 +4,20 @@ A file holds a range of documents in ascending doc_id order: blocks of at most B
 a table of its ids by descending frequency, one control byte for four ids (two bits each: bytes of the rank, less
 one), and the ranks' bytes. The footer has the documents' ids and lengths and the places of the blocks. A file needs
 no other file to be read, and only one block of it is held at a time. All integers are little-endian.
+
+A task starts a new file once one has FILE ids (a run of texts more at most), so the size of a file doesn't grow with the table. The manifest names
+the files that belong together; what a lost attempt has left behind isn't in it.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +26,12 @@ from tempestry.llm import common
 from tempestry.llm.tokens import WordCachedEncoder
 
 MAGIC = b"TIDS0001"
-BLOCK = 1 << 20
+BLOCK, FILE = 1 << 20, 1 << 26
 #: Bytes of each of the four ranks that a control byte stands for.
-WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int8) + 1
+WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 #: 1 where a doc_id is null.
 NULL_ID = -(1 << 63)
+MANIFEST = "part long, file long, name string, n_docs long, n_ids long"
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -36,16 +42,23 @@ def encode_block(ids: np.ndarray) -> bytes:
     rank_of = np.empty(len(counts), dtype=np.uint32)
     rank_of[known] = np.arange(len(known), dtype=np.uint32)
     ranks = rank_of[ids]
-    width = 1 + (ranks > 0xFF).astype(np.int8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4) < width[:, None]].tobytes()
+    wider = [np.flatnonzero(ranks >> np.uint32(8 * k)) for k in (1, 2, 3) if len(known) >> 8 * k]
     padded = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
-    padded[: len(ids)] = width - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
-    return struct.pack("<III", len(ids), len(known), len(data)) + known.astype("<u4").tobytes() + control + data
-
-
-def decode_block(block: memoryview) -> np.ndarray:
+    for more in wider:
+        padded[more] += 1
+    four = padded.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    width = padded[: len(ids)] + np.uint8(1)
+    place = np.cumsum(width, dtype=np.int32) - width
+    data = np.empty(int(width.sum(dtype=np.int64)), dtype=np.uint8)
+    data[place] = ranks.astype(np.uint8)
+    for k, more in enumerate(wider, 1):
+        data[place[more] + k] = (ranks[more] >> np.uint32(8 * k)).astype(np.uint8)
+    head = struct.pack("<III", len(ids), len(known), len(data))
+    return head + known.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
+
+
+def decode_block(block: bytes | memoryview) -> np.ndarray:
     """Ids of a block: widths come from WIDTHS by control byte, ids from the block's table by rank."""
     n, known, size = struct.unpack_from("<III", block)
     at = 12 + 4 * known
@@ -53,125 +66,176 @@ def decode_block(block: memoryview) -> np.ndarray:
     control = np.frombuffer(block, np.uint8, -(-n // 4), at)
     data = np.frombuffer(block, np.uint8, size, at + len(control))
     width = WIDTHS[control].ravel()[:n]
-    place = np.cumsum(width, dtype=np.int64) - width
+    place = np.cumsum(width, dtype=np.int32) - width
     ranks = data[place].astype(np.uint32)
     for k in (1, 2, 3):
-        if len(more := np.flatnonzero(width > k)):
+        if known >> 8 * k and len(more := np.flatnonzero(width > k)):
             ranks[more] |= data[place[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return table[ranks]
 
 
-def encode_file(documents: Iterator[tuple[int | None, bytes]]) -> Iterator[bytes]:
-    """Parts of a file; documents are (doc_id, ids as little-endian uint32)."""
-    names, lengths, places, at, held, n = [], [], [], len(MAGIC), [], 0
-    yield MAGIC
-
-    def blocks(last: bool) -> Iterator[bytes]:
-        nonlocal held, n, at
-        joined = np.frombuffer(b"".join(held), "<u4")
+class FileWriter:
+    """Writes documents to an open file."""
+
+    def __init__(self, out: BinaryIO):
+        self.out, self.at = out, len(MAGIC)
+        self.names: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.places: list[int] = []
+        self.held: list[np.ndarray] = [np.array([], dtype="<u4")]
+        self.waiting = self.ids = self.docs = 0
+        out.write(MAGIC)
+
+    def add(self, names: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Documents by their ids (NULL_ID for null) and lengths, and the token ids of all of them."""
+        self.names.append(names)
+        self.lengths.append(lengths)
+        self.held.append(ids)
+        self.docs += len(names)
+        self.waiting += len(ids)
+        self.ids += len(ids)
+        if self.waiting >= BLOCK:
+            self.blocks(False)
+
+    def blocks(self, last: bool) -> None:
+        joined = np.concatenate(self.held)
         whole = len(joined) if last else len(joined) // BLOCK * BLOCK
         for start in range(0, whole, BLOCK):
             block = encode_block(joined[start : min(whole, start + BLOCK)])
-            places.append(at)
-            at += len(block)
-            yield block
-        held, n = [joined[whole:].tobytes()], len(joined) - whole
-
-    for name, ids in documents:
-        names.append(NULL_ID if name is None else name)
-        lengths.append(len(ids) // 4)
-        held.append(ids)
-        n += len(ids) // 4
-        if n >= BLOCK:
-            yield from blocks(False)
-    yield from blocks(True)
-    yield np.array(names, "<i8").tobytes() + np.array(lengths, "<i8").tobytes() + np.array(places, "<i8").tobytes()
-    yield struct.pack("<qqq", len(names), len(places), at) + MAGIC
-
-
-def decode_file(content: bytes) -> Iterator[tuple[int | None, int, bytes]]:
-    """(doc_id, ids before it in this file, its ids as little-endian uint32)."""
-    view = memoryview(content)
-    if bytes(view[:8]) != MAGIC or bytes(view[-8:]) != MAGIC:
+            self.places.append(self.at)
+            self.at += len(block)
+            self.out.write(block)
+        self.held, self.waiting = [joined[whole:].copy()], len(joined) - whole
+
+    def finish(self) -> None:
+        self.blocks(True)
+        for numbers in (*self.names, *self.lengths, np.array(self.places)):
+            self.out.write(numbers.astype("<i8").tobytes())
+        self.out.write(struct.pack("<qqq", self.docs, len(self.places), self.at) + MAGIC)
+
+
+def read_file(source: BinaryIO, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, lengths, their ids) of runs of whole documents, a block or a longer document at a time."""
+    tail = b""
+    if size >= 40:
+        source.seek(size - 32)
+        tail = source.read(32)
+    if tail[-8:] != MAGIC:
         raise ValueError("not a file of token ids, or cut short")
-    docs, blocks, footer = struct.unpack("<qqq", view[-32:-8])
-    names, lengths = np.frombuffer(view, "<i8", docs, footer), np.frombuffer(view, "<i8", docs, footer + 8 * docs)
-    places = [*np.frombuffer(view, "<i8", blocks, footer + 16 * docs).tolist(), footer]
-    ready, block, before = b"", 0, 0
-    for name, length in zip(names.tolist(), lengths.tolist(), strict=True):
-        parts, have = [ready], len(ready) // 4
-        while have < length:
-            ids = decode_block(view[places[block] : places[block + 1]])
-            parts.append(ids.astype("<u4").tobytes())
-            have += len(ids)
-            block += 1
-        ready = b"".join(parts) if len(parts) > 1 else ready
-        yield None if name == NULL_ID else name, before, ready[: 4 * length]
-        ready = ready[4 * length :]
-        before += length
-
-
-def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> DataFrame:
+    n_docs, n_blocks, footer = struct.unpack("<qqq", tail[:24])
+    source.seek(footer)
+    numbers = np.frombuffer(source.read(8 * (2 * n_docs + n_blocks)), "<i8")
+    names, lengths = numbers[:n_docs], numbers[n_docs : 2 * n_docs]
+    places = [*numbers[2 * n_docs :].tolist(), footer]
+    ends = np.cumsum(lengths)
+    held, read, given, done = [np.array([], "<u4")], 0, 0, 0
+    source.seek(len(MAGIC))
+    for at, end in zip(places, places[1:], strict=False):
+        ids = decode_block(source.read(end - at))
+        held.append(ids)
+        read += len(ids)
+        whole = int(np.searchsorted(ends, read, side="right"))
+        if whole > done:
+            joined = np.concatenate(held)
+            cut = int(ends[whole - 1]) - given
+            yield names[done:whole], lengths[done:whole], joined[:cut]
+            held, given, done = [joined[cut:]], given + cut, whole
+    if done < n_docs:  # documents without ids at the end
+        yield names[done:], lengths[done:], np.concatenate(held)
+
+
+def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, file_ids: int = FILE) -> DataFrame:
     """Encodes docs (doc_id, text) into files below path, a folder that all executors reach; returns the manifest.
 
     Null texts are empty; each document gets end_id at its end, so that none is without ids. Rows are in ascending
-    doc_id order, nulls first, within and over the files (part, first to last); repeated rows are written again.
-    A task writes under a name of its own attempt and renames the file when it is whole, so lost and repeated
-    attempts leave the same files. The manifest has a row for each file: part, n_docs, n_ids.
+    doc_id order, nulls first, within and over the files; repeated rows are written again, rows of one doc_id by text.
+    Other columns are ignored. A text of any length is encoded whole. A file is named by its task's attempt, so
+    attempts never write over each other. The manifest (MANIFEST) has a row for each file of the attempts that count;
+    an empty table gives none.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode, end, part = WordCachedEncoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        counts = [0, 0]
-
-        def documents() -> Iterator[tuple[int | None, bytes]]:
-            for batch in batches:
-                names = batch.column(0).to_pylist()
-                for at in range(0, len(names), 64):
-                    for name, ids in zip(names[at : at + 64], encode(batch.column(1)[at : at + 64].to_pylist()), strict=True):
-                        counts[0] += 1
-                        counts[1] += len(ids) // 4 + 1
-                        yield name, ids + end
-
+        encode = WordCachedEncoder(tokenizer)
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         files, folder = fs.FileSystem.from_uri(path)
-        own, name = f"{folder}/.{part:06d}-{TaskContext.get().taskAttemptId()}", f"{folder}/{part:06d}.ids"
         files.create_dir(folder, recursive=True)
-        with files.open_output_stream(own) as out:
-            for piece in encode_file(documents()):
-                out.write(piece)
-        if counts[0]:
-            files.move(own, name)
-            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [counts[0]], "n_ids": [counts[1]]})
-        else:
-            files.delete_file(own)
+        out = writer = None
+        rows: list[tuple] = []
+
+        def close() -> None:
+            writer.finish()
+            out.close()
+            rows.append((part, len(rows), f"{part:06d}-{len(rows):06d}-{attempt}.ids", writer.docs, writer.ids))
+
+        for batch in batches:
+            names, at = pc.fill_null(batch.column(0), NULL_ID).to_numpy(), 0
+            for lengths, ids in encode.encode(batch.column(1), end=[end_id]):
+                if writer is None:
+                    out = files.open_output_stream(f"{folder}/{part:06d}-{len(rows):06d}-{attempt}.ids")
+                    writer = FileWriter(out)
+                writer.add(names[at : at + len(lengths)], lengths, ids)
+                at += len(lengths)
+                if writer.ids >= file_ids:
+                    close()
+                    writer = None
+        if writer is not None:
+            close()
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+            names=["part", "file", "name", "n_docs", "n_ids"],
+        )
 
     common.short_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return common.written(ordered.mapInArrow(task, "part long, n_docs long, n_ids long"), "id-manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    ordered = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .repartitionByRange(common.partitions(docs.sparkSession), order[0])
+        .sortWithinPartitions(*order)
+    )
+    return common.written(ordered.mapInArrow(task, MANIFEST), "id-manifest")
 
 
 def read_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, as pack())."""
+    """Documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, as pack()).
+
+    Files are dealt to tasks by the manifest and read block by block. A damaged file is an error.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part, rows, size = int(name.rpartition("/")[2][:-4]), [], 0
-                for doc in decode_file(content.as_buffer()):
-                    rows.append(doc)
-                    size += len(doc[2])
-                    if size > 1 << 22:
-                        yield made(part, rows)
-                        rows, size = [], 0
-                yield made(part, rows)
-
-    def made(part: int, rows: list[tuple]) -> pa.RecordBatch:
-        names, starts, ids = ([r[k] for r in rows] for k in range(3))
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "local", "ids"])
-
-    before = manifest.select("part", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("before"))
-    rows = (spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path).select("path", "content") if manifest.count() else spark.createDataFrame([], "path string, content binary")).mapInArrow(task, "part long, doc_id long, local long, ids binary")
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with files.open_input_file(f"{folder}/{name}") as source:
+                    for names, lengths, ids in read_file(source, source.size()):
+                        starts = before + np.cumsum(lengths) - lengths
+                        before += int(lengths.sum())
+                        edges = np.concatenate([[0], 4 * np.cumsum(lengths)]).astype("<i8")
+                        values = pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+                        binary = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(edges), values])
+                        step = 2000
+                        for at in range(0, len(names), step):
+                            n = names[at : at + step]
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(n, pa.int64(), mask=n == NULL_ID),
+                                    pa.array(starts[at : at + step], pa.int64()),
+                                    pa.array(lengths[at : at + step], pa.int64()),
+                                    binary[at : at + step].cast(pa.binary()),
+                                ],
+                                names=["doc_id", "start", "n_tokens", "ids"],
+                            )
+
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(earlier.orderBy("part")), F.lit(0)).alias("parts_before"))
+    within = F.coalesce(F.sum("n_ids").over(earlier.partitionBy("part").orderBy("file")), F.lit(0))
+    placed = manifest.withColumn("files_before", within).join(parts, "part")
+    placed = placed.select("name", (F.col("parts_before") + F.col("files_before")).alias("before"))
+    dealt = placed.repartition(common.partitions(spark))
+    return dealt.mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")

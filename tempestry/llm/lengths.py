@@ -25,8 +25,8 @@ def length_counts(docs: DataFrame, tokenizer: str, end_ids: int = 1) -> DataFram
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, counts = WordCachedEncoder(tokenizer), Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                counts.update(len(ids) // 4 + end_ids for ids in encode(batch.column(0)[at : at + 64].to_pylist()))
+            for lengths, _ in encode.encode(batch.column(0), ids=False):
+                counts.update((lengths + end_ids).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["length", "n"])
 
     common.short_batches(docs.sparkSession)

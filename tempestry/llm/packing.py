@@ -96,7 +96,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, windows = WordCachedEncoder(tokenizer), Windows(window)
-        end = np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() * TASK_IDS
 
         def closed() -> pa.RecordBatch:
@@ -113,13 +112,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 64):
-                for doc, ids in zip(names[at : at + 64], encode(texts[at : at + 64].to_pylist()), strict=True):
-                    ids += end
-                    total = len(ids) // 4
+            names = iter(batch.column(0).to_pylist())
+            for lengths, ids in encode.encode(batch.column(1), end=[end_id]):
+                joined, at = ids.tobytes(), 0
+                for total in lengths.tolist():
+                    doc = next(names)
                     for start in range(0, total, window):
-                        windows.place((doc, start, ids[4 * start : 4 * (start + window)], total))
+                        place = 4 * (at + start)
+                        windows.place((doc, start, joined[place : place + 4 * min(window, total - start)], total))
+                    at += total
                 if len(windows.closed) > 2000:
                     yield closed()
         windows.finish()

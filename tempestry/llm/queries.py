@@ -61,7 +61,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.length_table(lengths.length_counts(documents(spark, sf_dir, "text"), tokenizer_path()))
+    counts = lengths.length_counts(documents(spark, sf_dir, "text"), tokenizer_path())
+    return lengths.length_table(common.written(counts, "length-counts"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators 1, 4 and 9 against the tokenizers library itself."""
 
+import io
+import random
 import zlib
 
 import numpy as np
@@ -36,6 +38,19 @@ def test_cached_encoder_equals_library(truth):
         assert [np.frombuffer(b, "<u4").tolist() + [0] for b in encode(TEXTS)] == truth
 
 
+def test_cached_encoder_on_mixed_characters():
+    rng = random.Random(3)
+    signs = [
+        "a", "Bc", "é", "日", "'s", "'", "\n", "\n", " ", " ", " ", ".", ",", "!!", "1", "²", "\t", "\xa0", "x_y", "'ll", "Ⅷ", "🙂", "\u0301", "\n'",
+    ]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = WordCachedEncoder(PATH, limit=2000)
+    for at in range(0, len(texts), 64):
+        for text, ids in zip(texts[at : at + 64], encode(texts[at : at + 64]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("window", [16, 1024])
 def test_packing_covers_each_id_once(docs, truth, window):
     rows = packing.pack(docs, PATH, window=window).collect()
@@ -80,13 +95,49 @@ def test_files_round_trip(spark, docs, truth):
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
 
 
+def read(content: bytes) -> list[tuple[int, bytes]]:
+    out = []
+    for names, lengths, ids in id_files.read_file(io.BytesIO(content), len(content)):
+        edges = np.cumsum([0, *lengths])
+        out += [(n, ids[a:b].tobytes()) for n, a, b in zip(names.tolist(), edges, edges[1:], strict=False)]
+    return out
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 4097, id_files.BLOCK + 3])
 def test_block_code(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 70_000).astype("<u4")
-    content = b"".join(id_files.encode_file(iter([(7, ids[: n // 2].tobytes()), (None, ids[n // 2 :].tobytes())])))
-    assert list(id_files.decode_file(content)) == [(7, 0, ids[: n // 2].tobytes()), (None, n // 2, ids[n // 2 :].tobytes())]
+    documents = [(7, ids[: n // 2].tobytes()), (None, ids[n // 2 :].tobytes()), (9, b"")]
+    out = io.BytesIO()
+    writer = id_files.FileWriter(out)
+    for name, x in documents:
+        x = np.frombuffer(x, "<u4")
+        writer.add(np.array([id_files.NULL_ID if name is None else name]), np.array([len(x)]), x)
+    writer.finish()
+    assert read(out.getvalue()) == [(id_files.NULL_ID if name is None else name, x) for name, x in documents]
     wide = np.arange(70_000, dtype="<u4")
-    assert (id_files.decode_block(memoryview(id_files.encode_block(wide))) == wide).all()
+    assert (id_files.decode_block(id_files.encode_block(wide)) == wide).all()
+
+
+def test_damaged_files_are_an_error(spark, docs):
+    for content in (b"", b"x" * 100):
+        with pytest.raises(ValueError):
+            read(content)
+    path = common.new_path(spark, "ids")
+    manifest = id_files.write_files(docs, PATH, path)
+    name = f"{path.removeprefix('file://')}/{manifest.first()['name']}"
+    with open(name, "rb+") as f:
+        f.truncate(60)
+    with pytest.raises(Exception, match="cut short"):
+        id_files.read_files(spark, path, manifest).count()
+
+
+def test_small_files(spark, docs, truth):
+    path = common.new_path(spark, "ids")
+    manifest = id_files.write_files(docs.repartition(1), PATH, path, file_ids=20)
+    assert manifest.count() >= 4
+    rows = sorted(id_files.read_files(spark, path, manifest).collect(), key=lambda r: r.start)
+    assert [r.ids for r in rows[1:]] == [np.array(x, "<u4").tobytes() for x in truth]
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
 
 
 def test_histogram(spark, docs, truth):
