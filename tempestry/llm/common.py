@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new one that is put there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tempestry-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """The folder in spark.checkpoint.dir; where that is unset, the warehouse, which all executors reach as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return base.rstrip("/")
 
 
@@ -30,8 +28,22 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: Where new tables are put below the shared folder.
+_BELOW: ContextVar[str] = ContextVar("below", default="tempestry")
+
+
+@contextmanager
+def below(folder: str) -> Iterator[None]:
+    """New tables are put below that folder, so that they can be deleted together."""
+    token = _BELOW.set(f"tempestry/{folder}")
+    try:
+        yield
+    finally:
+        _BELOW.reset(token)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tempestry/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_BELOW.get()}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +53,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables and files that written() and new_path() have made; call it once results are stored elsewhere."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempestry")
+def clear(spark: SparkSession, below: str = "") -> None:
+    """Deletes the tables and files that written() and new_path() have made, of all or of those below that folder; call
+    it once results are stored elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tempestry/{below}".rstrip("/"))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

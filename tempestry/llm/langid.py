@@ -168,7 +168,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs without the rows whose text is rejected; all columns stay, in their order."""
-    schema, at = docs.schema, docs.columns.index("text")
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name with a dot can't be handed to tasks
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,4 +183,4 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield part.filter(pa.array(kept))
 
     common.short_batches(docs.sparkSession)
-    return docs.mapInArrow(task, schema)
+    return plain.mapInArrow(task, plain.schema).toDF(*docs.columns)

@@ -320,5 +320,6 @@ def grouped(docs: DataFrame, threshold: float | str = "0.75") -> DataFrame:
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs without those whose component_id is another document; all columns stay. Rows of a doc_id stay together; rows
     with a null doc_id stay."""
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("key"))
+    return rows.join(gone, "key", "left_anti").select("row.*")

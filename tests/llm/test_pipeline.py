@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import corpus
@@ -76,6 +77,25 @@ def test_stages(spark, folder):
     assert max(filled.values()) <= 1024
 
 
+def test_clashing_columns(spark, folder):
+    """Every name that the operators use inside, as an extra column of documents."""
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(40)
+    names = (
+        "n_lines n_dropped gone_id key row row_id row_text drops kept h1 h2 position word bits node component shingle "
+        "component_id n_shingles text_hash item_id start windows w lang_pred score rejected ids length sequence_id"
+    ).split()
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i))
+    docs = docs.withColumn("a.b", F.lit("dot"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        (row,) = out.select(*(F.min(f"`{n}`").alias(n) for n in names)).collect()
+        assert list(row) == list(range(len(names)))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() >= 40
+
+
 def test_empty_table(spark, folder, tmp_path):
     path, _, items = folder
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
