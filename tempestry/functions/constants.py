@@ -64,4 +64,5 @@ CURVES = {
     "aem": {"v37": (0.04, 0.24, 0.36, 0.19, 0.16), "h37": (0.07, 0.26, 0.38, 0.21, 0.20)},
     "adep": {"v89": (0.07, 0.31, 0.37, 0.36, 0.37), "h89": (0.05, 0.34, 0.42, 0.40, 0.40)},
 }
+#: Weights of the sources in a fused field.
 FUSION = {"goes": 0.1, "mw": 0.3, "radar": 0.6}

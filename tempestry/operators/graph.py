@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.operators.stencils import CELL
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder (a new one where none is set), so that rounds don't pile up."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tempestry-')}"
-    path = f"{base.rstrip('/')}/labels/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tempestry.operators.tables import kept
 
 
 def label(cells: DataFrame) -> DataFrame:
     """frame_id, pr, pc, label of cells that touch by an edge; the label is the smallest 100000 pr + pc of the group."""
     own = F.col("pr") * 100_000 + F.col("pc")
-    labels = _kept(cells.select(*CELL, own.alias("label")))
+    labels = kept(cells.select(*CELL, own.alias("label")))
     moves = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)))))
     while True:
         sent = labels.select("*", moves.alias("m")).select("frame_id", (F.col("pr") + F.col("m.i")).alias("pr"), (F.col("pc") + F.col("m.j")).alias("pc"), F.col("label").alias("seen"))
         near = labels.join(sent, CELL).groupBy(*CELL, "label").agg(F.min("seen").alias("seen"))
         # what a label's cells saw is the label's own next name
         renamed = near.groupBy("frame_id", "label").agg(F.min("seen").alias("next"))
-        new = _kept(near.join(renamed, ["frame_id", "label"]).select(*CELL, F.col("label").alias("old"), F.col("next").alias("label")))
+        new = kept(near.join(renamed, ["frame_id", "label"]).select(*CELL, F.col("label").alias("old"), F.col("next").alias("label")))
         labels = new.select(*CELL, "label")
         if new.where("old != label").isEmpty():
             return labels

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempestry.operators.graph import _kept
+from tempestry.operators.tables import kept
 from tempestry.operators.stencils import CELL
 
 
@@ -46,7 +46,7 @@ def nearest_valid(pixels: DataFrame, value: str) -> DataFrame:
         b = left.select(*CELL, around.alias("o")).select(*CELL, (F.floor(F.col("pr") / side) + F.col("o.i")).alias("row"), (F.floor(F.col("pc") / side) + F.col("o.j")).alias("column"))
         d = (F.pow(F.col("pr") - F.col("r"), 2) + F.pow(F.col("pc") - F.col("c"), 2)).cast("long")
         met = b.join(g, ["frame_id", "row", "column"], "left").withColumn("d", d)
-        found = _kept(met.groupBy(*CELL).agg(F.min(F.when(F.col("d") <= side * side, F.struct("d", "r", "c", value))).alias("x")))
+        found = kept(met.groupBy(*CELL).agg(F.min(F.when(F.col("d") <= side * side, F.struct("d", "r", "c", value))).alias("x")))
         done.append(found.where("x is not null").select(*CELL, F.col(f"x.{value}").alias("filled"), F.col("x.d").alias("d2")))
         left, side = found.where("x is null").select(*CELL), 2 * side
         if left.isEmpty():

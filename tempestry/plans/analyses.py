@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
 from tempestry.operators import asof, graph, neighbours, profiles, stencils
+from tempestry.operators.tables import ranked
 from tempestry.plans.pixels import _WVIR, storm
 from tempestry.plans.registry import Tables, clip, distance, query, wrap
 from tempestry.plans.tracks import _BRACKET, _LON
@@ -55,8 +56,9 @@ def wvir_stage(t: Tables) -> DataFrame:
     r = wvir(t).groupBy("frame_id").agg(F.max("v").alias("peak"), F.coalesce(F.max(F.when(F.col("v") > 1, F.col("radius"))), F.lit(0.0)).alias("extent"))
     k = wvir_ring_list(t).groupBy("frame_id").agg(F.count("*").alias("rings"), F.min("radius").alias("inner_km"))
     f = r.join(k, "frame_id", "left").withColumn("rings", F.coalesce("rings", F.lit(0)))
-    before = F.lag(F.struct("extent", "rings", "inner_km")).over(Window.partitionBy(F.lit(1)).orderBy("frame_id"))  # one storm's frames in time
-    f = f.withColumn("p", before)
+    f = ranked(f, "frame_id").drop("n")  # one storm's frames in time
+    before = f.select((F.col("k") + 1).alias("k"), F.struct("extent", "rings", "inner_km").alias("p"))
+    f = f.join(before, "k", "left")
     stage = F.when(F.col("peak") <= 1, 0).when(F.col("rings") >= 2, 3).when((F.col("p.rings") >= 2) & (F.col("inner_km") > F.col("p.inner_km")), 5).when(F.col("p.rings") >= 2, 4)
     stage = stage.when(F.col("extent") - F.col("p.extent") <= -40, 2).when(F.col("inner_km") < F.col("p.inner_km"), 6).otherwise(1)
     return f.select("frame_id", "rings", "extent", stage.alias("stage"))
@@ -100,11 +102,16 @@ def parallax_offset(t: Tables) -> DataFrame:
 @query(f"""WITH b AS (SELECT frame_id, min(lat) AS a, max(lat) AS b, min({wrap('lon - 179')}) AS c, max({wrap('lon - 179')}) AS d FROM pixel GROUP BY 1)
 SELECT t.fix_id, count(*) AS covering FROM track t JOIN b ON t.lat BETWEEN b.a + 1 AND b.b - 1 AND {wrap('t.lon - 179')} BETWEEN b.c + 1 AND b.d - 1 GROUP BY 1""")
 def image_covers_storm(t: Tables) -> DataFrame:
-    """Frames whose bounding box, less a degree, holds a fix; the boxes are one row a frame."""
+    """Frames whose bounding box, less a degree, holds a fix; both meet in cells of five degrees."""
     rel = C.lon_delta(F.lit(179.0), F.col("lon"))
     boxes = t.pixel.groupBy("frame_id").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min(rel).alias("c"), F.max(rel).alias("d"))
     near = t.track.withColumn("rel", rel).where("lat between -90 and 90")
-    return near.join(boxes, (F.col("lat") >= F.col("a") + 1) & (F.col("lat") <= F.col("b") - 1) & (F.col("rel") >= F.col("c") + 1) & (F.col("rel") <= F.col("d") - 1)).groupBy("fix_id").agg(F.count("*").alias("covering"))
+    inside = boxes.where("a + 1 <= b - 1 and c + 1 <= d - 1")
+    cells = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) + 1) / 5), F.floor((F.col(high) - 1) / 5)))
+    inside = inside.select("*", cells("a", "b").alias("y")).select("*", cells("c", "d").alias("x"))
+    near = near.select("fix_id", "lat", "rel", F.floor(F.col("lat") / 5).alias("y"), F.floor(F.col("rel") / 5).alias("x"))
+    met = near.join(inside, ["y", "x"]).where("lat between a + 1 and b - 1 and rel between c + 1 and d - 1")
+    return met.groupBy("fix_id").agg(F.count("*").alias("covering"))
 
 
 @query("""WITH d AS (SELECT frame_id, abs(lat - lag(lat) OVER (PARTITION BY frame_id, pc ORDER BY pr)) AS dy, pr - lag(pr) OVER (PARTITION BY frame_id, pc ORDER BY pr) AS k FROM pixel)
@@ -206,9 +213,8 @@ def thin_per_storm(t: Tables) -> DataFrame:
 SELECT storm_id, CASE WHEN k <= 0.25 * n THEN 1 WHEN k <= 0.5 * n THEN 2 WHEN k <= n * 1.0 THEN 3 END AS first_fraction, CAST((k - 1) % 2 AS INT) AS half FROM p""")
 def nested_subsets(t: Tables) -> DataFrame:
     """Nested quarters, halves and wholes of the storms in a seeded order, and alternate halves; one row a storm."""
-    w = Window.partitionBy(F.lit(1))
-    s = t.track.select("storm_id").distinct().withColumn("h", F.md5(F.concat(F.lit("c"), F.col("storm_id").cast("string")).cast("binary")))
-    s = s.withColumn("k", F.row_number().over(w.orderBy("h", "storm_id"))).withColumn("n", F.count("*").over(w))
+    h = F.md5(F.concat(F.lit("c"), F.col("storm_id").cast("string")).cast("binary"))
+    s = ranked(t.track.select("storm_id").distinct().withColumn("h", h), "h", "storm_id")
     return s.select("storm_id", F.when(F.col("k") <= 0.25 * F.col("n"), 1).when(F.col("k") <= 0.5 * F.col("n"), 2).otherwise(3).alias("first_fraction"), ((F.col("k") - 1) % 2).cast("int").alias("half"))
 
 

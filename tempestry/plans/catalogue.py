@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tempestry.plans import analyses, frames, pixels, records, registry, streams, tracks  # noqa: F401  importing a module registers its queries
+# importing a module registers its queries
+from tempestry.plans import analyses, frames, guards, pixels, records, registry, streams, tracks  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.operators import asof, neighbours
+from tempestry.operators.tables import ranked
 from tempestry.plans.registry import Tables, clip, query, wrap
 from tempestry.sources import besttrack, listings
 
@@ -196,12 +197,8 @@ def storm_split(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT fix_id, vmax_kt, row_number() OVER (ORDER BY vmax_kt, fix_id) - 1 AS i, count(*) OVER () AS n FROM track), k AS (SELECT DISTINCT CAST(floor(j * n / 50.0) AS BIGINT) AS i FROM (SELECT n FROM r LIMIT 1), LATERAL (SELECT unnest(generate_series(0, 49)) AS j) g)
 SELECT r.fix_id, r.vmax_kt FROM r JOIN k ON r.i = k.i""")
 def stratified_subset(t: Tables) -> DataFrame:
-    """Fifty fixes spread evenly over the order of intensity: ranks within intensities plus the counts of lower ones."""
-    counts = t.track.groupBy("vmax_kt").agg(F.count("*").alias("c"))
-    order = Window.orderBy("vmax_kt")
-    counts = counts.select("vmax_kt", (F.sum("c").over(order) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    r = t.track.withColumn("k", F.row_number().over(Window.partitionBy("vmax_kt").orderBy("fix_id"))).join(counts, "vmax_kt")
-    r = r.withColumn("i", F.col("before") + F.col("k") - 1)
+    """Fifty fixes spread evenly over the order of intensity (a sampling operator)."""
+    r = ranked(t.track.select("vmax_kt", "fix_id"), "vmax_kt", "fix_id").withColumn("i", F.col("k") - 1)
     picks = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda j: F.floor(j * F.col("n") / 50.0))
     return r.where(F.array_contains(picks, F.col("i"))).select("fix_id", "vmax_kt")
 
@@ -235,13 +232,13 @@ def masked_pct_loss(t: Tables) -> DataFrame:
 _D2 = f"sqrt(pow(p.lat - x.lat, 2) + pow({wrap('p.lon - x.lon')}, 2))"
 
 
-@query(f"""WITH x AS (SELECT frame_id, pr, pc, lat + 0.03 AS lat, lon + 0.04 AS lon FROM pixel WHERE frame_id = 0), p AS (SELECT frame_id, pr, pc, lat, lon, v37 FROM pixel WHERE frame_id = 0 AND v37 IS NOT NULL),
+@query(f"""WITH x AS (SELECT frame_id, pr, pc, lat + 0.03 AS lat, lon + 0.04 AS lon FROM pixel), p AS (SELECT frame_id, pr, pc, lat, lon, v37 FROM pixel WHERE v37 IS NOT NULL),
 m AS (SELECT x.frame_id, x.pr, x.pc, p.v37, round({_D2}, 9) AS d, p.pr AS r, p.pc AS c FROM x JOIN p ON x.frame_id = p.frame_id AND abs(x.pr - p.pr) <= 4 AND abs(x.pc - p.pc) <= 4 WHERE {_D2} <= 0.25),
 b AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pr, pc ORDER BY d, r, c) AS n FROM m)
 SELECT frame_id, pr, pc, v37, round(d, 6) AS degrees, round({clip('1 - (d - 0.05) / 0.15', 0, 1)}, 5) AS feather FROM b WHERE n = 1""")
 def knn_regrid(t: Tables) -> DataFrame:
-    """Nearest pixel of another grid within a quarter of a degree, and the feather of its distance; the first frame only."""
-    return _regrid(t.pixel.where("frame_id = 0"))
+    """Nearest pixel of another grid within a quarter of a degree, and the feather of its distance."""
+    return _regrid(t.pixel)
 
 
 def _regrid(p: DataFrame) -> DataFrame:
@@ -256,7 +253,7 @@ m AS (SELECT x.frame_id, x.pr, x.pc, p.v37, round({_D2}, 9) AS d, p.pr AS r, p.p
 b AS (SELECT *, row_number() OVER (PARTITION BY frame_id, pr, pc ORDER BY d, r, c) AS n FROM m)
 SELECT frame_id, pr, pc, v37, round(d, 6) AS degrees, round({clip('1 - (d - 0.05) / 0.15', 0, 1)}, 5) AS feather FROM b WHERE n = 1""")
 def knn_regrid_frames(t: Tables) -> DataFrame:
-    """knn_regrid over every frame."""
+    """knn_regrid, against SQL without a bound on grid steps."""
     return _regrid(t.pixel)
 
 

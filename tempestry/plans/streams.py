@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempestry.operators.tables import shared_path
 from tempestry.plans.registry import Tables, query
 from tempestry.streaming import flows
 
 
 def _run(t: Tables, flow, mode: str = "append", **options) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base.rstrip('/')}/streams/{name}" if base else f"file://{tempfile.mkdtemp(prefix='tempestry-')}"
+    folder = shared_path(t.spark, "streams")
     flows.to_parquet(flow(flows.events(t.spark, t.sf_dir), **options), f"{folder}/out", f"{folder}/state")
     return t.spark.read.parquet(f"{folder}/out").drop("batch")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -20,16 +21,30 @@ class FrameReader(DataSourceReader):
         self.folder = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        return [FrameFile(str(p)) for p in sorted(Path(self.folder).glob("*.npz"))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        frames = np.load(io.BytesIO(Path(partition.path).read_bytes()))
+        files, folder = fs.FileSystem.from_uri(self.folder)
+        found = files.get_file_info(fs.FileSelector(folder))
+        return [FrameFile(p.path) for p in sorted(found, key=lambda p: p.path) if p.path.endswith(".npz")]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """A frame as one batch of columns."""
+        files, _ = fs.FileSystem.from_uri(self.folder)
+        with files.open_input_file(partition.path) as file:
+            frames = np.load(io.BytesIO(file.read()))
         lat, lon = frames["lat"], frames["lon"]
         packed = {c: frames[c] if c in frames.files else np.zeros(lat.shape, np.uint16) for c in ("v37", "h37", "v89", "h89")}
-        name = Path(partition.path).stem
-        for row, column in np.ndindex(lat.shape):
-            values = (packed[c][row, column] for c in packed)
-            yield (name, row, column, float(lat[row, column]), float(lon[row, column]), *(float(v) * 0.01 if v else None for v in values))
+        name = partition.path.rpartition("/")[2].removesuffix(".npz")
+        rows, columns = (x.ravel().astype(np.int32) for x in np.indices(lat.shape))
+        values = {c: packed[c].ravel() for c in packed}
+        yield pa.RecordBatch.from_pydict(
+            {
+                "frame": pa.array([name] * lat.size, pa.string()),
+                "pr": pa.array(rows),
+                "pc": pa.array(columns),
+                "lat": pa.array(lat.ravel().astype(np.float64)),
+                "lon": pa.array(lon.ravel().astype(np.float64)),
+            }
+            | {c: pa.array(v * 0.01, pa.float64(), mask=v == 0) for c, v in values.items()}
+        )
 
 
 class FrameSource(DataSource):

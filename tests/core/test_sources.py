@@ -5,6 +5,7 @@ from datetime import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
+from tempestry.operators import tables
 from tempestry.sources import besttrack, datasource, listings
 
 
@@ -48,3 +49,22 @@ def test_frames(spark, tmp_path):
     spark.dataSource.register(datasource.FrameSource)
     rows = sorted(spark.read.format("frames").load(str(tmp_path)).collect())
     assert len(rows) == 4 and (rows[0].v37, rows[1].v37, rows[0].h37) == (200.0, None, None)
+
+
+def test_more_names(spark):
+    names = ["a/OR_GLM-L2-LCFA_G16_s20242451230123_e.nc", "a/KTBW20240901_123456_V06", "OR_ABI-L1b-RadF-M6C02_G16_sbad", "KTBW2024_1", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    rows = df.select(listings.lightning(F.col("n")).alias("l"), listings.radar_scan(F.col("n")).alias("r"), listings.scene(F.col("n")).alias("s")).collect()
+    assert (rows[0].l.satellite, rows[0].l.start) == ("G16", datetime(2024, 9, 1, 12, 30, 12)) and rows[0].s is None
+    assert (rows[1].r.station, rows[1].r.time) == ("KTBW", datetime(2024, 9, 1, 12, 34, 56)) and rows[1].l is None
+    assert (rows[2].s.sector, rows[2].s.band, rows[2].s.start) == ("F", 2, None)
+    assert all(x is None for r in rows[3:] for x in r)
+    (row,) = spark.sql("select '1) 10.65 GHz V-Pol 2) 89.0 GHz HPol' as n").select(listings.channels(F.col("n")).alias("c")).collect()
+    assert {k: tuple(v) for k, v in row.c.items()} == {1: (10.65, "V"), 2: (89.0, "H")}
+
+
+def test_ranks_over_the_whole_table(spark):
+    df = spark.createDataFrame([((i * 37) % 101, "x" if i % 3 else "y") for i in range(101)], "a int, b string").repartition(5)
+    rows = sorted((r.b, r.a, r.k, r.n) for r in tables.ranked(df, "b", "a").collect())
+    assert [r[2] for r in rows] == list(range(1, 102)) and {r[3] for r in rows} == {101}
+    assert tables.ranked(df.limit(0), "a").count() == 0
