@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempestry.llm import common
-from tempestry.llm.tokens import WordCachedEncoder
+from tempestry.llm.tokens import encoder
 
 MAGIC = b"TIDS0001"
 BLOCK, FILE = 1 << 20, 1 << 26
@@ -157,7 +157,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, fil
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode = WordCachedEncoder(tokenizer)
+        encode = encoder(tokenizer)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         files, folder = fs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)

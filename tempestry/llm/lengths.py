@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.llm import common
-from tempestry.llm.tokens import WordCachedEncoder
+from tempestry.llm.tokens import encoder
 
 #: Lengths of one run; suffix sums go over the runs first, then within each, so no task sees all lengths.
 RUN = 4096
@@ -23,7 +23,7 @@ def length_counts(docs: DataFrame, tokenizer: str, end_ids: int = 1) -> DataFram
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, counts = WordCachedEncoder(tokenizer), Counter()
+        encode, counts = encoder(tokenizer), Counter()
         for batch in batches:
             for lengths, _ in encode.encode(batch.column(0), ids=False):
                 counts.update((lengths + end_ids).tolist())

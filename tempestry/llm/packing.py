@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import common
-from tempestry.llm.tokens import WordCachedEncoder
+from tempestry.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")])
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows = WordCachedEncoder(tokenizer), Windows(window)
+        encode, windows = encoder(tokenizer), Windows(window)
         sequence = TaskContext.get().partitionId() * TASK_IDS
 
         def closed() -> pa.RecordBatch:

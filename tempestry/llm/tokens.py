@@ -6,6 +6,7 @@ import json
 import os
 import string
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -235,3 +236,10 @@ class WordCachedEncoder:
             joined = ids.tobytes()
             out += [joined[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordCachedEncoder:
+    """This process's encoder: Spark's Python workers serve many tasks, which needn't load the vocabulary and learn the
+    same words again. What it returns doesn't depend on what it has learnt."""
+    return WordCachedEncoder(path)
