@@ -31,6 +31,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
 
 
+def strings(words: pa.Array | pa.ChunkedArray) -> list[str]:
+    """As Python's strings; by numpy, since to_pylist() makes a scalar of each first."""
+    return words.to_numpy(zero_copy_only=False).tolist() if isinstance(words, pa.Array) else words.to_numpy().tolist()
+
+
 class WordTable:
     """Ids of words: a number for each word, and the ids of all of them in one array. Words used longest ago go first."""
 
@@ -119,23 +124,20 @@ class WordCachedEncoder:
         """The text's bytes, each as the vocabulary writes it; spaces stay."""
         return text if text.isascii() else text.encode().decode("latin-1").translate(self.byte_letters)
 
-    def learn(self, fresh: Sequence[str]) -> None:
-        """Puts words that aren't in the table there."""
+    def learn(self, fresh: pa.Array) -> None:
+        """Puts distinct words that aren't in the table there."""
         number = self.table.number
-        marked: list[str] = []
-        bare: list[str] = []
-        bases: dict[str, None] = {}
-        for w in fresh:
-            base = w.rstrip(PUNCTUATION)
-            if len(base) < len(w) and (base[1:] if w[0] in "\r\n" else base).isalpha():
-                marked.append(w)
-                bare.append(base)
-                w = base
-            if w not in number:
-                bases[w] = None
-        spaced, others, rest = [], [], []
-        for w in bases:
-            (spaced if w.isalpha() else others if w[0] in "\r\n" else rest).append(w)
+        base = pc.utf8_rtrim(fresh, characters=PUNCTUATION)
+        cut = pc.and_(pc.not_equal(base, fresh), pc.utf8_is_alpha(pc.utf8_ltrim(base, characters="\r\n")))
+        bare, marked = base.filter(cut), strings(fresh.filter(cut))
+        bases = pa.chunked_array([fresh.filter(pc.invert(cut)), bare]).unique()
+        unknown = np.fromiter((w not in number for w in strings(bases)), bool, len(bases))
+        bases = bases.filter(pa.array(unknown))
+        leads = pc.match_substring_regex(bases, r"\A[\r\n]")
+        alpha = pc.utf8_is_alpha(bases)
+        spaced = strings(bases.filter(alpha))
+        rest = strings(bases.filter(pc.invert(pc.or_(alpha, leads))))
+        others = strings(bases.filter(leads))
         if spaced:
             self.keep(spaced, self.letters, self.in_letters(f" {' '.join(spaced)}").replace(" ", f" {SPACE}"))
         if rest:
@@ -152,6 +154,7 @@ class WordCachedEncoder:
                     found.append(self.whole(w.removeprefix("\r")).tolist())
             self.table.add(others, np.array([len(x) for x in found]), np.array([i for x in found for i in x], dtype="<u4"))
         if marked:
+            bare = strings(bare)
             tails = [f"\r\r{w[len(base) :]}" for w, base in zip(marked, bare, strict=True)]
             for tail in {*tails}.difference(number):  # punctuation after a letter
                 ids = self.whole(f"a{tail[2:]}")[len(self.whole("a")) :]
@@ -171,13 +174,13 @@ class WordCachedEncoder:
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Numbers in the table, after learning what isn't there."""
         coded = words.dictionary_encode()
-        distinct, number = coded.dictionary.to_pylist(), self.table.number
+        distinct, number = strings(coded.dictionary), self.table.number
         of_distinct = np.fromiter(map(number.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(of_distinct < 0)
         if len(missing):
-            fresh = [distinct[i] for i in missing.tolist()]
-            self.learn(fresh)
-            of_distinct[missing] = np.fromiter(map(number.__getitem__, fresh), np.int64, len(fresh))
+            self.learn(coded.dictionary.take(pa.array(missing)))
+            fresh = map(distinct.__getitem__, missing.tolist())
+            of_distinct[missing] = np.fromiter(map(number.__getitem__, fresh), np.int64, len(missing))
         self.table.used[of_distinct] = self.table.turn
         return of_distinct[coded.indices.to_numpy()]
 
