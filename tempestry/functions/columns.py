@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -242,3 +243,24 @@ def novelty_scale(sigma: Column) -> Column:
 
 def intensity_band(vmax: Column) -> Column:
     return F.when(vmax < 34, "TD").when(vmax < 64, "TS").when(vmax < 96, "C1-2").otherwise("C3-5")
+
+
+def shear_asymmetry(dx: Column, dy: Column, lat0: Column, shear_deg: Column) -> Column:
+    """1 downshear left of the centre, -1 upshear right; 0 without a shear heading and in the south."""
+    off = F.radians(F.degrees(F.atan2(dx, dy)) - shear_deg - K.ASYMMETRY_DEG)
+    return F.when(shear_deg.isNull() | (lat0 < 0), 0.0).otherwise(F.cos(off))
+
+
+def footprint_sigma(km: Column, spacing_km: Column) -> Column:
+    """Gaussian sigma in pixels of a footprint's width; 0 where it's half a pixel or less."""
+    sigma = km / (2 * math.sqrt(2 * math.log(2))) / spacing_km
+    return F.when(sigma > 0.5, sigma).otherwise(0.0)
+
+
+def spread_widening(measured: Column) -> Column:
+    return F.when(measured > 0, clip(measured, 1.0, 6.0)).otherwise(K.SPREAD_DEFAULT)
+
+
+def hours_text(h: Column) -> Column:
+    minutes = F.concat(F.round(h * 60, 0).cast("long").cast("string"), F.lit(" min"))
+    return F.when(h < 1, minutes).otherwise(F.format_string("%.1f h", F.round(h, 1)))

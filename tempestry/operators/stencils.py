@@ -6,7 +6,8 @@ task's size. Separable kernels go over rows, then columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,3 +34,22 @@ def square(reach: int) -> list[tuple[int, int, float]]:
 
 def weighted_mean() -> Column:
     return F.sum(F.col("v") * F.col("w")) / F.sum("w")
+
+
+def gaussian(pixels: DataFrame, value: str, sigma_rows: float, sigma_cols: float) -> DataFrame:
+    """frame_id, pr, pc, smooth: an anisotropic Gaussian over rows, then over columns, cut at four deviations.
+
+    Weights are those of the pixels with a value, so holes and rims don't pull values down. Every pixel gets what its
+    neighbours give, missing ones too.
+    """
+    cells = pixels.select(*CELL)
+    rows = spread(pixels, _kernel(sigma_rows, lambda k: (k, 0)), value).groupBy(*CELL)
+    sums = rows.agg(F.struct(F.sum(F.col("v") * F.col("w")).alias("sv"), F.sum("w").alias("sw")).alias("x")).join(cells, CELL)
+    cols = spread(sums, _kernel(sigma_cols, lambda k: (0, k)), "x").groupBy(*CELL)
+    out = cols.agg((F.sum(F.col("v.sv") * F.col("w")) / F.sum(F.col("v.sw") * F.col("w"))).alias("smooth"))
+    return cells.join(out, CELL, "left")
+
+
+def _kernel(sigma: float, place: Callable[[int], tuple[int, int]]) -> list[tuple[int, int, float]]:
+    reach = int(4 * sigma + 0.5)
+    return [(*place(k), math.exp(-0.5 * (k / sigma) ** 2) if k else 1.0) for k in range(-reach, reach + 1)]

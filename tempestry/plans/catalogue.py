@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # importing a module registers its queries
-from tempestry.plans import analyses, frames, guards, pixels, records, registry, streams, tracks  # noqa: F401
+from tempestry.plans import analyses, fields, frames, guards, pixels, records, registry, reports, streams, tracks  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
