@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import ann, common, decontaminate, filter_audit, hilbert, html_text, id_files, langid, lengths, line_dedup, ngram_join, packing
+from tempestry.llm import ann, common, conversations, decontaminate, filter_audit, hilbert, html_text, id_files, langid, lengths, licenses, line_dedup, ngram_join, packing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -69,6 +69,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.deduplicated(documents(spark, sf_dir)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.table(spark, sf_dir, "conversations", ("conv_id", "turn", "role", "text"))
+    rows = conversations.damage(turns)
+    return conversations.digest(rows, conversations.plans(rows, turns.select("conv_id")))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(*licenses.scan(documents(spark, sf_dir)))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir, "doc_id", "text", "source"), common.table(spark, sf_dir, "labels", ("doc_id", "quality", "toxic"))
     return filter_audit.audited(docs, labels)
@@ -86,9 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_length_histogram": op9_length_histogram,
         "op10_line_dedup": op10_line_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_license_scan": op12_license_scan,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.oracle_sql(), "op13_filter_audit": filter_audit.oracle_sql()}
+    return {"op10_line_dedup": line_dedup.oracle_sql(), "op12_license_scan": licenses.oracle_sql(), "op13_filter_audit": filter_audit.oracle_sql()}
