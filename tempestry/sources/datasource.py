@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tempestry.sources.commits import file_system
+
 
 class FrameFile(InputPartition):
     def __init__(self, path: str):
@@ -21,13 +23,13 @@ class FrameReader(DataSourceReader):
         self.folder = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        files, folder = fs.FileSystem.from_uri(self.folder)
+        files, folder = file_system(self.folder)
         found = files.get_file_info(fs.FileSelector(folder))
         return [FrameFile(p.path) for p in sorted(found, key=lambda p: p.path) if p.path.endswith(".npz")]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         """A frame as one batch of columns."""
-        files, _ = fs.FileSystem.from_uri(self.folder)
+        files, _ = file_system(self.folder)
         with files.open_input_file(partition.path) as file:
             frames = np.load(io.BytesIO(file.read()))
         lat, lon = frames["lat"], frames["lon"]
