@@ -48,22 +48,6 @@ def wvir_rings(t: Tables) -> DataFrame:
     return wvir_ring_list(t).select("frame_id", "radius", F.round("v", 5).alias("peak_k"))
 
 
-@query(f"""WITH {_RINGS2}, f AS (SELECT p.frame_id, max(p.v) AS peak, coalesce(max(CASE WHEN p.v > 1 THEN p.radius END), 0) AS extent, (SELECT count(*) FROM kept k WHERE k.frame_id = p.frame_id) AS rings, (SELECT min(radius) FROM kept k WHERE k.frame_id = p.frame_id) AS inner_km FROM prof p GROUP BY p.frame_id),
-h AS (SELECT *, lag(extent) OVER w AS e0, lag(rings) OVER w AS r0, lag(inner_km) OVER w AS i0 FROM f WINDOW w AS (ORDER BY frame_id))
-SELECT frame_id, rings, extent, CASE WHEN peak <= 1 THEN 0 WHEN rings >= 2 THEN 3 WHEN r0 >= 2 AND inner_km > i0 THEN 5 WHEN r0 >= 2 THEN 4 WHEN extent - e0 <= -40 THEN 2 WHEN inner_km < i0 THEN 6 ELSE 1 END AS stage FROM h""")
-def wvir_stage(t: Tables) -> DataFrame:
-    """Eyewall-cycle stage of each frame from its rings and extent and those of the frame before."""
-    r = wvir(t).groupBy("frame_id").agg(F.max("v").alias("peak"), F.coalesce(F.max(F.when(F.col("v") > 1, F.col("radius"))), F.lit(0.0)).alias("extent"))
-    k = wvir_ring_list(t).groupBy("frame_id").agg(F.count("*").alias("rings"), F.min("radius").alias("inner_km"))
-    f = r.join(k, "frame_id", "left").withColumn("rings", F.coalesce("rings", F.lit(0)))
-    f = ranked(f, "frame_id").drop("n")  # one storm's frames in time
-    before = f.select((F.col("k") + 1).alias("k"), F.struct("extent", "rings", "inner_km").alias("p"))
-    f = f.join(before, "k", "left")
-    stage = F.when(F.col("peak") <= 1, 0).when(F.col("rings") >= 2, 3).when((F.col("p.rings") >= 2) & (F.col("inner_km") > F.col("p.inner_km")), 5).when(F.col("p.rings") >= 2, 4)
-    stage = stage.when(F.col("extent") - F.col("p.extent") <= -40, 2).when(F.col("inner_km") < F.col("p.inner_km"), 6).otherwise(1)
-    return f.select("frame_id", "rings", "extent", stage.alias("stage"))
-
-
 @query("""WITH m AS (SELECT frame_id, round(avg(v37 - h37), 3) AS d, count(*) FILTER (v37 < 225) AS core FROM pixel GROUP BY frame_id)
 SELECT a.frame_id, b.frame_id AS other_id, printf('difference %.1f->%.1f K, core %d->%d', a.d, b.d, a.core, b.core) || CASE WHEN b.core > 1.2 * a.core THEN '; core grew' ELSE '' END AS summary FROM m a JOIN m b ON b.frame_id = a.frame_id + 1""")
 def structure_compare(t: Tables) -> DataFrame:

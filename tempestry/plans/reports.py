@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.plans import analyses, guards, pixels  # noqa: F401  (their queries are read here)
+from tempestry.plans import analyses, guards, pixels, stages  # noqa: F401  (their queries are read here)
 from tempestry.plans.registry import QUERIES, SQL, Tables, query
 
 
@@ -73,11 +73,16 @@ def eyewall_cycle_text(t: Tables) -> DataFrame:
     return found.select("frame_id", F.when(F.col("secondary_km").isNull(), "no secondary eyewall").otherwise(words).alias("summary"))
 
 
-@query(f"""SELECT frame_id, 'stage ' || stage || ', ' || rings || ' ring(s), deep convection out to ' || {_number('extent', 0)} || ' km' AS summary FROM ({SQL['wvir_stage']})""")
+_NAMED = "CASE stage " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in stages.NAMES.items()) + " END"
+
+
+@query(f"""SELECT frame_id, CASE WHEN stage IS NULL THEN 'no stage: ' || evidence ELSE 'stage ' || stage || ' (' || {_NAMED} || '), confidence ' || {_number('confidence', 2)} || ', deep convection out to ' || {_number('extent', 0)} || ' km: ' || evidence END AS summary
+FROM ({SQL['wvir_stage']})""")
 def vapour_ring_text(t: Tables) -> DataFrame:
-    """What wvir_stage found, in words."""
-    parts = (F.lit("stage "), F.col("stage").cast("string"), F.lit(", "), F.col("rings").cast("string"), F.lit(" ring(s), deep convection out to "), _text("extent", 0), F.lit(" km"))
-    return _of(t, "wvir_stage").select("frame_id", F.concat(*parts).alias("summary"))
+    """What wvir_stage found and its evidence, in words."""
+    names = F.create_map(*(F.lit(x) for item in stages.NAMES.items() for x in item))
+    parts = (F.lit("stage "), F.col("stage").cast("string"), F.lit(" ("), F.try_element_at(names, F.col("stage")), F.lit("), confidence "), _text("confidence", 2), F.lit(", deep convection out to "), _text("extent", 0), F.lit(" km: "), F.col("evidence"))
+    return _of(t, "wvir_stage").select("frame_id", F.when(F.col("stage").isNull(), F.concat(F.lit("no stage: "), "evidence")).otherwise(F.concat(*parts)).alias("summary"))
 
 
 @query(f"""SELECT fix_id, round(CASE WHEN x > 0 THEN greatest(1.0, least(6.0, x)) ELSE {K.SPREAD_DEFAULT} END, 6) AS widening,

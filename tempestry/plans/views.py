@@ -35,7 +35,7 @@ FROM events WHERE event_type = 'view'""",
     "flash": """SELECT event_id AS flash_id, ts, CAST(200 + event_id % 100 AS DOUBLE) / 10 AS lat,
   CAST(1750 + (event_id * 3) % 100 AS DOUBLE) / 10 AS lon, CAST(value AS DOUBLE) AS energy
 FROM events WHERE event_type = 'click'""",
-    "pixel": _PIXELS.format(frame="l_suppkey % 8", n=48, lat="25.0 - CAST(pr - 24 AS DOUBLE) / 10", lon="CASE WHEN pc - 24 >= 10 THEN -181.0 + CAST(pc - 24 AS DOUBLE) / 10 ELSE 179.0 + CAST(pc - 24 AS DOUBLE) / 10 END"),
+    "pixel": _PIXELS.format(frame="CAST(FLOOR(l_suppkey / 12.0) AS BIGINT)", n=48, lat="25.0 - CAST(pr - 24 AS DOUBLE) / 10", lon="CASE WHEN pc - 24 >= 10 THEN -181.0 + CAST(pc - 24 AS DOUBLE) / 10 ELSE 179.0 + CAST(pc - 24 AS DOUBLE) / 10 END"),
     "pixel_many": _PIXELS.format(frame="l_suppkey", n=24, lat="25.0 - CAST(pr - 12 AS DOUBLE) / 5", lon="CASE WHEN pc - 12 >= 5 THEN -181.0 + CAST(pc - 12 AS DOUBLE) / 5 ELSE 179.0 + CAST(pc - 12 AS DOUBLE) / 5 END"),
     "station": """SELECT s_suppkey AS station_id, s_name AS icao, CAST((s_suppkey * 17) % 60 - 30 AS DOUBLE) AS lat,
   CAST((s_suppkey * 41) % 360 - 180 AS DOUBLE) AS lon FROM supplier""",
