@@ -14,13 +14,13 @@ from tempestry.operators import profiles, stencils
 from tempestry.plans.registry import Tables, clip, distance, lookup, query
 
 # Every frame's storm: centre (25 N, 179 E), intensity and radii by frame.
-_STORM = "(40.0 + 12 * frame_id)", "(25.0 + 4 * frame_id)", "(CASE WHEN frame_id % 2 = 0 THEN 250.0 + 10 * frame_id END)"
+_STORM = "(40.0 + 12 * (frame_id % 8))", "(25.0 + 4 * (frame_id % 8))", "(CASE WHEN frame_id % 2 = 0 THEN 250.0 + 10 * (frame_id % 8) END)"
 _R = distance("lat", "lon", "25.0", "179.0")
 
 
 def storm(pixels: DataFrame) -> DataFrame:
     """Pixels with r (km from the centre), vmax, rmw and roci of their frame's storm."""
-    frame = F.col("frame_id")
+    frame = F.col("frame_id") % 8
     return pixels.select("*", C.distance_km(F.col("lat"), F.col("lon"), 25.0, 179.0).alias("r"), (40.0 + 12 * frame).alias("vmax"), (25.0 + 4 * frame).alias("rmw"), F.when(frame % 2 == 0, 250.0 + 10 * frame).alias("roci"))
 
 
@@ -246,7 +246,7 @@ b AS (SELECT frame_id, floor(r / 4.0) AS bin, avg(p) AS m, avg(red) AS red FROM
 e AS (SELECT frame_id, arg_min((bin + 0.5) * 4, (round(m, 7), bin)) AS eyewall, max(red) AS peak, arg_min(red, bin) AS centre, count(*) FILTER (red >= 1 - 1e-9) * 4.0 AS saturated FROM b GROUP BY 1),
 a AS (SELECT x.frame_id, avg((coalesce(red, 0) >= 0.5)::INT) FILTER (r <= eyewall) AS fill, count(*) FILTER (red >= 0.5) AS core, (max(2.181 * v37 - 1.181 * h37) - min(2.181 * v37 - 1.181 * h37)) / 20 AS window_share,
   avg((red <= 0 OR red >= 1)::INT) FILTER (red IS NOT NULL AND r <= 150) AS clipped, median(v37 - h37) FILTER (r > 150) AS far, median(v37 - h37) FILTER (r <= 60) AS near FROM x JOIN e ON x.frame_id = e.frame_id GROUP BY 1)
-SELECT e.frame_id, eyewall, round(peak, 5) AS peak, round(1 - centre / nullif(peak, 0), 5) AS eye_contrast, saturated, round(eyewall / (25.0 + 4 * e.frame_id), 5) AS rmw_ratio, round(fill, 5) AS core_fill, core AS core_pixels, round(window_share, 5) AS window_share, round(clipped, 5) AS clipped, round(far - near, 5) AS pol_collapse FROM e JOIN a ON e.frame_id = a.frame_id""")
+SELECT e.frame_id, eyewall, round(peak, 5) AS peak, round(1 - centre / nullif(peak, 0), 5) AS eye_contrast, saturated, round(eyewall / (25.0 + 4 * (e.frame_id % 8)), 5) AS rmw_ratio, round(fill, 5) AS core_fill, core AS core_pixels, round(window_share, 5) AS window_share, round(clipped, 5) AS clipped, round(far - near, 5) AS pol_collapse FROM e JOIN a ON e.frame_id = a.frame_id""")
 def structure_metrics(t: Tables) -> DataFrame:
     """Eyewall radius, eye contrast, core and polarisation measures of each frame at 37 GHz."""
     v, h = F.col("v37"), F.col("h37")
@@ -260,7 +260,7 @@ def structure_metrics(t: Tables) -> DataFrame:
         F.avg(F.when(F.col("red").isNotNull() & (F.col("r") <= 150), ((F.col("red") <= 0) | (F.col("red") >= 1)).cast("int"))).alias("clipped"),
         (F.median(F.when(F.col("r") > 150, v - h)) - F.median(F.when(F.col("r") <= 60, v - h))).alias("collapse"),
     )
-    return a.select("frame_id", F.col("eyewall").cast("double").alias("eyewall"), F.round("peak", 5).alias("peak"), F.round(1 - F.col("centre") / F.nullif("peak", F.lit(0.0)), 5).alias("eye_contrast"), "saturated", F.round(F.col("eyewall") / (25.0 + 4 * F.col("frame_id")), 5).alias("rmw_ratio"), F.round("fill", 5).alias("core_fill"), "core_pixels", F.round("window_share", 5).alias("window_share"), F.round("clipped", 5).alias("clipped"), F.round("collapse", 5).alias("pol_collapse"))
+    return a.select("frame_id", F.col("eyewall").cast("double").alias("eyewall"), F.round("peak", 5).alias("peak"), F.round(1 - F.col("centre") / F.nullif("peak", F.lit(0.0)), 5).alias("eye_contrast"), "saturated", F.round(F.col("eyewall") / (25.0 + 4 * (F.col("frame_id") % 8)), 5).alias("rmw_ratio"), F.round("fill", 5).alias("core_fill"), "core_pixels", F.round("window_share", 5).alias("window_share"), F.round("clipped", 5).alias("clipped"), F.round("collapse", 5).alias("pol_collapse"))
 
 
 _DX, _DY = "(((((lon - 179.0 + 180) % 360) + 360) % 360 - 180) * 111.32 * cos(radians(25.0)))", "((lat - 25.0) * 111.32)"
