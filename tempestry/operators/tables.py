@@ -44,3 +44,49 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
     counts = counts.select("_part", before.alias("_before"), F.sum("_rows").over(Window.partitionBy()).alias("n"))
     found = rows.withColumn("_part", part).join(F.broadcast(counts), "_part")
     return found.withColumn("k", F.col("_before") + index + 1).drop("_part", "_place", "_before", "_rows")
+
+
+#: Values of one group that a task of percentiles() sorts.
+SORTED_ROWS, BINS = 10_000, 1024
+
+
+def percentiles(rows: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:
+    """key, name: the exact percentile of each group's values (share 0 to 1), between two of them by linear interpolation.
+
+    Values are counted in BINS equal bins a group, and only those of the bins that hold the two order statistics asked
+    for go on, with the number of values below them, until a group has at most SORTED_ROWS left or all are equal. So no
+    task sees a group, however large, and each round is a count that tasks begin before anything is shuffled. NULLs
+    don't count; a group without a value has no row.
+    """
+    left = rows.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias("v"))
+    sizes = left.groupBy(key).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # first: rank from 0 of the lower statistic; below: values that are smaller than all that are left
+    groups = kept(sizes.select(key, "n", "lo", "hi", F.floor(share * (F.col("n") - 1)).alias("first"), (share * (F.col("n") - 1)).alias("place"), F.lit(0).cast("long").alias("below")), "groups")
+    small, done = (F.col("n") <= SORTED_ROWS) | (F.col("lo") == F.col("hi")), []
+    while True:
+        done.append(_interpolated(left, groups.where(small), key, name))
+        groups = groups.where(~small)
+        if groups.isEmpty():
+            out = done[0]
+            for x in done[1:]:
+                out = out.unionByName(x)
+            return out
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))
+        binned = left.join(groups, key).withColumn("bin", bin_)
+        counts = binned.groupBy(key, "bin", "first", "below", "place").agg(F.count("*").alias("m"))  # at most BINS a group
+        ends = F.col("below") + F.sum("m").over(Window.partitionBy(key).orderBy("bin"))
+        wanted = counts.withColumn("ends", ends).where((F.col("ends") > F.col("first")) & (F.col("ends") - F.col("m") <= F.col("first") + 1))
+        span = wanted.groupBy(key).agg(F.min("bin").alias("from"), F.max("bin").alias("to"), F.min(F.col("ends") - F.col("m")).alias("under"))
+        left = kept(binned.join(span, key).where(F.col("bin").between(F.col("from"), F.col("to"))).select(key, "v"), "left")
+        now = left.groupBy(key).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        groups = kept(now.join(groups.select(key, "first", "place"), key).join(span.select(key, F.col("under").alias("below")), key), "groups")
+
+
+def _interpolated(rows: DataFrame, groups: DataFrame, key: str, name: str) -> DataFrame:
+    """The percentile of groups that are small, or of one value only."""
+    alike = groups.where("lo = hi").select(key, F.col("lo").alias(name))
+    ordered = Window.partitionBy(key).orderBy("v")
+    ranked_ = rows.join(groups.where("lo < hi"), key).withColumn("k", F.col("below") + F.row_number().over(ordered) - 1).where("k between first and first + 1")
+    low, high = F.max(F.when(F.col("k") == F.col("first"), F.col("v"))), F.max(F.when(F.col("k") == F.col("first") + 1, F.col("v")))
+    between = ranked_.groupBy(key).agg(low.alias("a"), F.coalesce(high, low).alias("b"), F.max(F.col("place") - F.col("first")).alias("r"))
+    return alike.unionByName(between.select(key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("r")).alias(name)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # importing a module registers its queries
-from tempestry.plans import analyses, fields, frames, guards, levers, pixels, records, registry, reports, stages, stores, streams, tracks  # noqa: F401
+from tempestry.plans import analyses, corrections, fields, frames, guards, levers, pixels, records, registry, reports, stages, stores, streams, tracks  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
