@@ -71,7 +71,9 @@ FUSION = {"goes": 0.1, "mw": 0.3, "radar": 0.6}
 FOOTPRINT_KM = {
     "GMI": {37: (8.6, 14.0), 89: (4.4, 7.2)},
     "AMSR2": {37: (7.0, 12.0), 89: (3.0, 5.0)},
+    "AMSR3": {37: (7.0, 12.0), 89: (3.0, 5.0)},
     "SSMIS": {37: (27.5, 44.2), 89: (13.1, 14.4)},
+    "WSFM": {37: (27.5, 44.2), 89: (13.1, 14.4)},
 }
 # Exponent of the convective response by frequency, and the smoothing (km) of its 37 GHz form.
 RESPONSE_POWER = {37: 0.70, 89: 1.35}

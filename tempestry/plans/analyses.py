@@ -193,15 +193,6 @@ def thin_per_storm(t: Tables) -> DataFrame:
     return k.where(F.array_contains(picks, F.col("i"))).select("storm_id", "fix_id")
 
 
-@query("""WITH p AS (SELECT storm_id, row_number() OVER (ORDER BY md5('c' || storm_id), storm_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT storm_id FROM track))
-SELECT storm_id, CASE WHEN k <= 0.25 * n THEN 1 WHEN k <= 0.5 * n THEN 2 WHEN k <= n * 1.0 THEN 3 END AS first_fraction, CAST((k - 1) % 2 AS INT) AS half FROM p""")
-def nested_subsets(t: Tables) -> DataFrame:
-    """Nested quarters, halves and wholes of the storms in a seeded order, and alternate halves; one row a storm."""
-    h = F.md5(F.concat(F.lit("c"), F.col("storm_id").cast("string")).cast("binary"))
-    s = ranked(t.track.select("storm_id").distinct().withColumn("h", h), "h", "storm_id")
-    return s.select("storm_id", F.when(F.col("k") <= 0.25 * F.col("n"), 1).when(F.col("k") <= 0.5 * F.col("n"), 2).otherwise(3).alias("first_fraction"), ((F.col("k") - 1) % 2).cast("int").alias("half"))
-
-
 @query("SELECT strftime(ts, '%Y%m%d%H') AS hour, count(*) AS n, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us FROM events WHERE event_type = 'view' GROUP BY 1")
 def hour_strings(t: Tables) -> DataFrame:
     """Hours that have a pass, with the first of each."""
@@ -278,5 +269,3 @@ def center_fix(t: Tables) -> DataFrame:
     cut = core.groupBy("frame_id").agg(F.expr("percentile(ir, 0.2)").alias("cut"))
     c = core.join(cut, "frame_id").where("ir <= cut").groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.avg("pr"), 4).alias("row"), F.round(F.avg("pc"), 4).alias("col"))
     return c
-
-

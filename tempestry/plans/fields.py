@@ -10,22 +10,15 @@ from pyspark.sql import functions as F
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
 from tempestry.operators import stencils
+from tempestry.plans.corrections import gaussian_sql
 from tempestry.plans.pixels import _DX, _DY, BACKBONE
 from tempestry.plans.registry import Tables, clip, query
 
 #: Kilometres between the rows and the columns of the pixel view.
 ROW_KM, COL_KM = 0.1 * K.KM_DEG_DISTANCE, 0.1 * K.KM_DEG_DISTANCE * math.cos(math.radians(25.0))
 _FWHM = 2 * math.sqrt(2 * math.log(2))
-
-
-def _smooth_sql(table: str, value: str, sigma_rows: float, sigma_cols: float) -> str:
-    """SQL of stencils.gaussian: common table expressions, the last of them ``smoothed``."""
-    near = [f"exp(-0.5 * pow((a.{x} - {b}.{x}) / {s}, 2))" for x, b, s in (("pr", "b", sigma_rows), ("pc", "r", sigma_cols))]
-    reach = [int(4 * s + 0.5) for s in (sigma_rows, sigma_cols)]
-    return f"""by_row AS (SELECT a.frame_id, a.pr, a.pc, sum(b.{value} * {near[0]}) AS v, sum({near[0]}) AS w FROM {table} a
-  JOIN {table} b ON a.frame_id = b.frame_id AND a.pc = b.pc AND abs(a.pr - b.pr) <= {reach[0]} AND b.{value} IS NOT NULL GROUP BY 1, 2, 3),
-smoothed AS (SELECT a.frame_id, a.pr, a.pc, sum(r.v * {near[1]}) / sum(r.w * {near[1]}) AS smooth FROM {table} a
-  LEFT JOIN by_row r ON a.frame_id = r.frame_id AND a.pr = r.pr AND abs(a.pc - r.pc) <= {reach[1]} GROUP BY 1, 2, 3)"""
+#: Rows and columns of the pixel view.
+SHAPE = (48, 48)
 
 
 _FOOTPRINTS = [(s, f, *km) for s, by in K.FOOTPRINT_KM.items() for f, km in by.items()]
@@ -55,10 +48,10 @@ def footprint_sigmas(t: Tables) -> DataFrame:
 _PSF = tuple(km / _FWHM / step for km, step in zip(K.FOOTPRINT_KM["SSMIS"][37], (ROW_KM, COL_KM), strict=True))
 
 
-@query(f"WITH {_smooth_sql('pixel', 'v37', *_PSF)} SELECT frame_id, pr, pc, CASE WHEN v37 IS NOT NULL THEN round(smooth, 4) END AS v37 FROM pixel JOIN smoothed USING (frame_id, pr, pc)")
+@query(f"WITH {gaussian_sql('pixel', 'v37', _PSF, SHAPE, 'repeat', 'smoothed')} SELECT frame_id, pr, pc, CASE WHEN v37 IS NOT NULL THEN round(smooth, 4) END AS v37 FROM pixel JOIN smoothed USING (frame_id, pr, pc)")
 def sensor_psf(t: Tables) -> DataFrame:
-    """A 37 GHz field as a coarse sensor sees it; missing pixels stay missing and give no weight."""
-    seen = stencils.gaussian(t.pixel, "v37", *_PSF)
+    """A 37 GHz field as a coarse sensor sees it, its rim repeated; missing pixels stay missing and give no weight."""
+    seen = stencils.gaussian(t.pixel, "v37", *_PSF, "repeat", SHAPE)
     return t.pixel.join(seen, stencils.CELL).select(*stencils.CELL, F.when(F.col("v37").isNotNull(), F.round("smooth", 4)).alias("v37"))
 
 
@@ -66,24 +59,24 @@ _RESPONSE = clip("(270.0 - ir) / 80.0", 0, 1)
 _LIQUID = (K.LIQUID_KM / ROW_KM, K.LIQUID_KM / COL_KM)
 
 
-@query(f"""WITH z AS (SELECT frame_id, pr, pc, pow({_RESPONSE}, {K.RESPONSE_POWER[37]}) AS a, pow({_RESPONSE}, {K.RESPONSE_POWER[89]}) AS ice FROM pixel), {_smooth_sql('z', 'a', *_LIQUID)}
+@query(f"""WITH z AS (SELECT frame_id, pr, pc, pow({_RESPONSE}, {K.RESPONSE_POWER[37]}) AS a, pow({_RESPONSE}, {K.RESPONSE_POWER[89]}) AS ice FROM pixel), {gaussian_sql('z', 'a', _LIQUID, SHAPE, 'repeat', 'smoothed')}
 SELECT frame_id, pr, pc, round(greatest(0, least(1, smooth)), 5) AS response37, round(ice, 5) AS response89 FROM z JOIN smoothed USING (frame_id, pr, pc)""")
 def frequency_response(t: Tables) -> DataFrame:
     """The convective response shaped for each frequency: broad and smooth at 37 GHz, concentrated at 89."""
     a = C.clip((270.0 - F.col("ir")) / 80.0, 0, 1)
     z = t.pixel.select(*stencils.CELL, F.pow(a, F.lit(K.RESPONSE_POWER[37])).alias("a"), F.pow(a, F.lit(K.RESPONSE_POWER[89])).alias("ice"))
-    both = z.join(stencils.gaussian(z, "a", *_LIQUID), stencils.CELL)
+    both = z.join(stencils.gaussian(z, "a", *_LIQUID, "repeat", SHAPE), stencils.CELL)
     return both.select(*stencils.CELL, F.round(C.clip(F.col("smooth"), 0, 1), 5).alias("response37"), F.round("ice", 5).alias("response89"))
 
 
-@query(f"""WITH m AS (SELECT frame_id, avg(v37) AS mean FROM pixel GROUP BY 1), z AS (SELECT p.frame_id, pr, pc, v37, coalesce(v37, mean) AS a FROM pixel p JOIN m ON p.frame_id = m.frame_id), {_smooth_sql('z', 'a', 2.0, 2.0)}
+@query(f"""WITH m AS (SELECT frame_id, avg(v37) AS mean FROM pixel GROUP BY 1), z AS (SELECT p.frame_id, pr, pc, v37, coalesce(v37, mean) AS a FROM pixel p JOIN m ON p.frame_id = m.frame_id), {gaussian_sql('z', 'a', (2.0, 2.0), SHAPE, 'mirror', 'smoothed')}
 SELECT frame_id, round(stddev_pop(a - smooth) FILTER (v37 IS NOT NULL), 4) AS amplitude, count(v37) AS n FROM z JOIN smoothed USING (frame_id, pr, pc) GROUP BY 1""")
 def texture_amplitude(t: Tables) -> DataFrame:
     """Deviation of the fine structure of an observed field: what is left of it without its Gaussian of two pixels."""
     mean = t.pixel.groupBy("frame_id").agg(F.avg("v37").alias("mean"))
     z = t.pixel.join(mean, "frame_id").select(*stencils.CELL, "v37", F.coalesce("v37", "mean").alias("a"))
     fine = F.when(F.col("v37").isNotNull(), F.col("a") - F.col("smooth"))
-    found = z.join(stencils.gaussian(z, "a", 2.0, 2.0), stencils.CELL)
+    found = z.join(stencils.gaussian(z, "a", 2.0, 2.0, "mirror", SHAPE), stencils.CELL)
     return found.groupBy("frame_id").agg(F.round(F.stddev_pop(fine), 4).alias("amplitude"), F.count("v37").alias("n"))
 
 

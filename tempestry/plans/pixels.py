@@ -346,12 +346,6 @@ def wvir_profile(t: Tables) -> DataFrame:
     return full.select("frame_id", "radius", F.round("v", 5).alias("value"), F.round(profiles.median3("v", w.orderBy("radius")), 5).alias("smoothed"), F.max(F.when(F.col("v") > 1, F.col("radius"))).over(w).alias("extent_km"))
 
 
-@query("""SELECT frame_id, CAST(round_even(lat / 0.25, 0) AS INT) AS rlat, CAST(round_even(lon / 0.25, 0) AS INT) AS rlon, round(max((300 - ir) / 6.5), 5) AS top_km, count(*) AS n FROM pixel WHERE wv >= 215 GROUP BY 1, 2, 3""")
-def echo_top_max(t: Tables) -> DataFrame:
-    """Highest echo of each cell among the gates above a threshold."""
-    return t.pixel.where("wv >= 215").groupBy("frame_id", F.rint(F.col("lat") / 0.25).cast("int").alias("rlat"), F.rint(F.col("lon") / 0.25).cast("int").alias("rlon")).agg(F.round(F.max((300 - F.col("ir")) / 6.5), 5).alias("top_km"), F.count("*").alias("n"))
-
-
 @query(f"WITH {_S}, g AS (SELECT frame_id, wv - 195 AS dbz FROM s WHERE r <= 150) SELECT frame_id, count(*) AS n, max(dbz) AS dbz_max, round(avg(dbz), 5) AS dbz_mean, {', '.join(f'round(avg((dbz >= {x})::INT), 5) AS share_{x}' for x in (20, 30, 40, 50))} FROM g GROUP BY 1")
 def reflectivity_summary(t: Tables) -> DataFrame:
     """Reflectivity within 150 km: largest, mean and shares above four thresholds."""
@@ -359,23 +353,6 @@ def reflectivity_summary(t: Tables) -> DataFrame:
     return g.groupBy("frame_id").agg(F.count("*").alias("n"), F.max("dbz").alias("dbz_max"), F.round(F.avg("dbz"), 5).alias("dbz_mean"), *(F.round(F.avg((F.col("dbz") >= x).cast("int")), 5).alias(f"share_{x}") for x in (20, 30, 40, 50)))
 
 
-@query("""WITH g AS (SELECT frame_id, pr, pc, wv - 195 AS dbz FROM pixel), strong AS (SELECT * FROM g WHERE dbz >= 35),
-n AS (SELECT a.frame_id, a.pr, a.pc, count(b.pr) AS k FROM strong a LEFT JOIN strong b ON a.frame_id = b.frame_id AND abs(a.pr - b.pr) <= 1 AND abs(a.pc - b.pc) <= 1 AND NOT (a.pr = b.pr AND a.pc = b.pc) GROUP BY 1, 2, 3)
-SELECT g.frame_id, g.pr, g.pc, g.dbz FROM g LEFT JOIN n ON g.frame_id = n.frame_id AND g.pr = n.pr AND g.pc = n.pc WHERE n.k IS NULL OR n.k >= 2""")
-def gate_despeckle(t: Tables) -> DataFrame:
-    """Gates without strong ones that have fewer than two strong neighbours."""
-    g = t.pixel.select(*stencils.CELL, (F.col("wv") - 195).alias("dbz"))
-    near = stencils.spread(g.where("dbz >= 35"), [o for o in stencils.square(1) if o[:2] != (0, 0)], "dbz").groupBy(*stencils.CELL).agg(F.count("*").alias("k"))
-    return g.join(near, stencils.CELL, "left").where("dbz < 35 or k >= 2").select(*stencils.CELL, "dbz")
-
-
-@query("SELECT CAST(trunc((lat - 19.0) / 12.0 * 47) AS INT) AS ri, CAST(trunc((lon - 174.0) / 12.0 * 47) AS INT) AS ci, count(*) AS n, round(ln(1 + count(*)) / 3, 6) AS density FROM flash GROUP BY 1, 2")
-def flash_density_grid(t: Tables) -> DataFrame:
-    """Flashes per cell of a 48 x 48 grid, and the damped density."""
-    cell = lambda x, low: ((F.col(x) - low) / 12.0 * 47).cast("int")
-    return t.flash.groupBy(cell("lat", 19.0).alias("ri"), cell("lon", 174.0).alias("ci")).agg(F.count("*").alias("n")).withColumn("density", F.round(F.log1p("n") / 3, 6))
-
-
 @query("SELECT frame_id, count(*) AS n, round(avg(d), 5) AS bias, round(sqrt(avg(d * d)), 5) AS rmse FROM (SELECT frame_id, v37 - h37 - 20 AS d FROM pixel WHERE v37 IS NOT NULL AND h37 IS NOT NULL) GROUP BY 1")
 def bias_rmse(t: Tables) -> DataFrame:
     """Bias and root mean square of a difference over the pixels that have both sides."""
@@ -409,14 +386,6 @@ def ols_fit(t: Tables) -> DataFrame:
     return k.select("frame_id", "n", F.round((F.col("sy") - F.col("ka") * F.col("sa") - F.col("kb") * F.col("sb")) / F.col("n"), 3).alias("k0"), F.round("ka", 4).alias("ka"), F.round("kb", 4).alias("kb"))
 
 
-@query("""SELECT CAST(floor((h89 - 140) / 10) AS INT) AS bin, count(*) AS n, round(quantile_cont(h37, 0.5), 4) AS median, round(quantile_cont(h37, 0.25), 4) AS p25, round(quantile_cont(h37, 0.75), 4) AS p75 FROM pixel WHERE h89 IS NOT NULL AND h37 IS NOT NULL GROUP BY 1""")
-def ice_coupling(t: Tables) -> DataFrame:
-    """37 GHz quartiles by bins of 89 GHz."""
-    q = F.expr("percentile(h37, array(0.25, 0.5, 0.75))")
-    p = t.pixel.where("h89 is not null and h37 is not null").groupBy(F.floor((F.col("h89") - 140) / 10).cast("int").alias("bin")).agg(F.count("*").alias("n"), q.alias("q"))
-    return p.select("bin", "n", *(F.round(F.col("q")[k], 4).alias(x) for k, x in ((1, "median"), (0, "p25"), (2, "p75"))))
-
-
 @query(f"""WITH {_S}, z AS (SELECT frame_id, least(3, floor(r / 60.0)) AS zone, v37 - 215 AS d, ir - 195 AS k FROM s WHERE v37 IS NOT NULL),
 m AS (SELECT frame_id, zone, count(*) AS n, sum(d * d) AS r2, sum(d) AS sr, sum(k * d) AS b, sum(k * k) AS a FROM z GROUP BY 1, 2)
 SELECT CAST(zone AS INT) AS zone, count(DISTINCT frame_id) AS frames, CAST(sum(n) AS BIGINT) AS n, round(sqrt((sum(r2) - 2 * 0.3 * sum(b) + 0.09 * sum(a)) / sum(n)), 5) AS rmse FROM m GROUP BY zone""")
@@ -458,14 +427,6 @@ def sobel_texture(t: Tables) -> DataFrame:
     return g.join(p.select(*stencils.CELL), stencils.CELL).select(*stencils.CELL, F.round(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), 4).alias("edge"))
 
 
-@query("""WITH m AS (SELECT a.frame_id, a.pr, a.pc, any_value(a.v89) AS v, quantile_cont(b.v89, 0.5) AS med FROM pixel a JOIN pixel b ON a.frame_id = b.frame_id AND abs(a.pr - b.pr) <= 2 AND abs(a.pc - b.pc) <= 2 AND b.v89 IS NOT NULL WHERE a.v89 IS NOT NULL GROUP BY 1, 2, 3)
-SELECT frame_id, pr, pc, round(med, 4) AS median, CASE WHEN abs(v - med) <= 15 THEN round(v, 4) END AS kept FROM m""")
-def median_despeckle(t: Tables) -> DataFrame:
-    """Median of 5 x 5 pixels; a pixel more than 15 K off it goes."""
-    found = stencils.stencil(t.pixel.where("v89 is not null"), stencils.square(2), "v89", med=F.expr("percentile(v, 0.5)"))
-    return found.select(*stencils.CELL, F.round("med", 4).alias("median"), F.when(F.abs(F.col("v89") - F.col("med")) <= 15, F.round("v89", 4)).alias("kept"))
-
-
 @query("""WITH r AS (SELECT a.frame_id, a.pr, a.pc, sum(b.v37 * exp(-0.5 * pow(a.pr - b.pr, 2))) AS v, sum(exp(-0.5 * pow(a.pr - b.pr, 2))) AS w FROM pixel a JOIN pixel b ON a.frame_id = b.frame_id AND a.pc = b.pc AND abs(a.pr - b.pr) <= 4 AND b.v37 IS NOT NULL GROUP BY 1, 2, 3)
 SELECT a.frame_id, a.pr, a.pc, round(sum(r.v * exp(-0.5 * pow(a.pc - r.pc, 2))) / sum(r.w * exp(-0.5 * pow(a.pc - r.pc, 2))), 4) AS smooth FROM pixel a JOIN r ON a.frame_id = r.frame_id AND a.pr = r.pr AND abs(a.pc - r.pc) <= 4 GROUP BY 1, 2, 3""")
 def gaussian_smooth(t: Tables) -> DataFrame:

@@ -168,32 +168,12 @@ def clamped_fold(events: DataFrame, run: int = 1024) -> DataFrame:
     return maps.drop("at")
 
 
-@query("SELECT fix_id, CASE WHEN basin = 'AL' THEN 0 ELSE least(4, 1 * (CASE WHEN dv >= 30 THEN 3 ELSE 1 END) * (CASE WHEN fix_id % 25 >= 10 THEN 2 ELSE 1 END)) END AS weight FROM (SELECT *, vmax_kt - lag(vmax_kt) OVER (PARTITION BY storm_id ORDER BY valid_time) AS dv FROM track)")
-def regime_weights(t: Tables) -> DataFrame:
-    """Sampling weights: three for fast intensification, two for strong shear, four at most."""
-    dv = F.col("vmax_kt") - F.lag("vmax_kt").over(Window.partitionBy("storm_id").orderBy("valid_time"))
-    weight = F.least(F.lit(4), F.when(F.coalesce(dv >= 30, F.lit(False)), 3).otherwise(1) * F.when(F.col("fix_id") % 25 >= 10, 2).otherwise(1))
-    return t.track.select("fix_id", F.when(F.col("basin") == "AL", 0).otherwise(weight).alias("weight"))
-
-
 @query("SELECT storm_id, max(vmax_kt) AS peak, CASE WHEN max(vmax_kt) < 34 THEN 'TD' WHEN max(vmax_kt) < 64 THEN 'TS' WHEN max(vmax_kt) < 96 THEN 'C1-2' ELSE 'C3-5' END AS band, count(*) AS n FROM track GROUP BY storm_id")
 def storm_peak_band(t: Tables) -> DataFrame:
     """Peak intensity of each storm and its band."""
     return t.track.groupBy("storm_id").agg(F.max("vmax_kt").alias("peak"), C.intensity_band(F.max("vmax_kt")).alias("band"), F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT storm_id, max(vmax_kt) AS peak FROM track GROUP BY 1), b AS (SELECT storm_id, CASE WHEN peak < 100 THEN 'low' WHEN peak < 150 THEN 'mid' ELSE 'high' END AS band FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('7-' || storm_id), storm_id) AS k, count(*) OVER (PARTITION BY band) AS n FROM b)
-SELECT storm_id, band, CASE WHEN n > 1 AND k <= greatest(1, CAST(floor(0.2 * n) AS INT)) THEN 'val' ELSE 'train' END AS split FROM r""")
-def storm_split(t: Tables) -> DataFrame:
-    """Whole storms to training or validation, a fifth of each band, in a seeded order."""
-    p = t.track.groupBy("storm_id").agg(F.max("vmax_kt").alias("peak"))
-    b = p.select("storm_id", F.when(F.col("peak") < 100, "low").when(F.col("peak") < 150, "mid").otherwise("high").alias("band"), F.md5(F.concat(F.lit("7-"), F.col("storm_id").cast("string")).cast("binary")).alias("h"))
-    w = Window.partitionBy("band")
-    k, n = F.row_number().over(w.orderBy("h", "storm_id")), F.count("*").over(w)
-    return b.withColumn("k", k).withColumn("n", n).select("storm_id", "band", F.when((F.col("n") > 1) & (F.col("k") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("n")))), "val").otherwise("train").alias("split"))
-
-
 @query("""WITH r AS (SELECT fix_id, vmax_kt, row_number() OVER (ORDER BY vmax_kt, fix_id) - 1 AS i, count(*) OVER () AS n FROM track), k AS (SELECT DISTINCT CAST(floor(j * n / 50.0) AS BIGINT) AS i FROM (SELECT n FROM r LIMIT 1), LATERAL (SELECT unnest(generate_series(0, 49)) AS j) g)
 SELECT r.fix_id, r.vmax_kt FROM r JOIN k ON r.i = k.i""")
 def stratified_subset(t: Tables) -> DataFrame:

@@ -80,16 +80,6 @@ def swath_morph(t: Tables) -> DataFrame:
     return moved.join(t.pixel.select("frame_id", "pr", "lat", "lon"), ["frame_id", "pr"]).groupBy("pass_id").agg(F.count("*").alias("n"), F.round(F.min(F.col("lat") + F.col("dlat")), 6).alias("lat_min"), F.round(F.max(C.wrap180(F.col("lon") + F.col("dlon"))), 6).alias("lon_max"))
 
 
-@query("""SELECT t.fix_id, b.pass_id AS before_id, a.pass_id AS after_id FROM track t
-ASOF LEFT JOIN overpass b ON b.storm_id = t.storm_id AND b.scene_time <= t.valid_time
-ASOF LEFT JOIN overpass a ON a.storm_id = t.storm_id AND a.scene_time >= t.valid_time""")
-def crossfade_pair(t: Tables) -> DataFrame:
-    """For each fix, the last pass of any sensor before it and the first after it."""
-    passes = t.overpass.withColumnRenamed("scene_time", "valid_time")
-    found = asof.bracket(t.track, passes, ["storm_id"], "valid_time", ["fix_id"], ["pass_id"])
-    return found.select("fix_id", F.col("f0.pass_id").alias("before_id"), F.col("f1.pass_id").alias("after_id"))
-
-
 @query("""WITH b AS (SELECT t.fix_id, t.valid_time, b.scene_time AS s, (epoch_us(t.valid_time) - epoch_us(b.scene_time)) / 3.6e9 AS age
   FROM track t ASOF LEFT JOIN overpass b ON b.storm_id = t.storm_id AND b.scene_time <= t.valid_time),
 c AS (SELECT t.fix_id, (epoch_us(a.scene_time) - epoch_us(t.valid_time)) / 6e7 AS minutes FROM track t ASOF LEFT JOIN overpass a ON a.storm_id = t.storm_id AND a.scene_time >= t.valid_time)
