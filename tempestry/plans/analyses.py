@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.operators import asof, graph, neighbours, profiles, stencils
+from tempestry.operators import asof, neighbours, profiles, stencils
 from tempestry.operators.tables import ranked
 from tempestry.plans.pixels import _WVIR, storm
 from tempestry.plans.registry import Tables, clip, distance, query, wrap
@@ -251,21 +251,3 @@ def env_at_overpass(t: Tables) -> DataFrame:
     back, ahead = C.hours_between(F.col("f0.t"), F.col("t")), C.hours_between(F.col("t"), F.col("f1.t"))
     first = F.col("f1").isNull() | (back <= ahead)
     return x.select("event_id", F.when(F.least(back, ahead) <= 0.5, F.when(first, F.col("f0.env_id")).otherwise(F.col("f1.env_id"))).alias("env_id"))
-
-
-@query()
-def center_fix(t: Tables) -> DataFrame:
-    """Storm centre of each frame: the largest connected cold cloud near the prior centre and its coldest fifth's middle.
-
-    No SQL: connected cells are found by rounds of labels. tests/core/test_analyses.py has a brute-force version.
-    """
-    p = storm(t.pixel)
-    cold = p.where("ir < 235")
-    labels = graph.label(cold.select(*stencils.CELL))
-    x = cold.join(labels, stencils.CELL)
-    size = x.groupBy("frame_id", "label").agg(F.count_if(F.col("r") <= 150).alias("near")).where("near > 0")
-    best = size.groupBy("frame_id").agg(F.max_by("label", F.struct("near", -F.col("label"))).alias("label"))
-    core = x.join(best, ["frame_id", "label"]).where("r <= 150")
-    cut = core.groupBy("frame_id").agg(F.expr("percentile(ir, 0.2)").alias("cut"))
-    c = core.join(cut, "frame_id").where("ir <= cut").groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.avg("pr"), 4).alias("row"), F.round(F.avg("pc"), 4).alias("col"))
-    return c

@@ -1,9 +1,7 @@
-"""Connected cells and the centre fix against brute force."""
+"""Connected cells, fills, folds and regrids against brute force."""
 
 import random
-from statistics import mean
 
-import numpy as np
 import pytest
 
 from tempestry.operators import graph, neighbours
@@ -34,27 +32,6 @@ def test_labels(spark):
         assert {found[x] for x in group} == {min(r * 100_000 + c for _, r, c in group)}
 
 
-def test_center_fix(spark):
-    folder = "/root/testdata/sf0.001"
-    t = analyses.Tables(spark, folder)
-    pixels = analyses.storm(t.pixel).select("frame_id", "pr", "pc", "ir", "r").collect()
-    cold = {(p.frame_id, p.pr, p.pc): p for p in pixels if p.ir < 235}
-    best = {}
-    for g in flood(cold):
-        near = sum(cold[x].r <= 150 for x in g)
-        key = (near, -min(r * 100_000 + c for _, r, c in g))
-        if near and key > best.get(g[0][0], ((0, 0), None))[0]:
-            best[g[0][0]] = (key, g)
-    expected = {}
-    for f, (_, g) in best.items():
-        core = [cold[x] for x in g if cold[x].r <= 150]
-        cut = np.percentile([p.ir for p in core], 20)
-        core = [p for p in core if p.ir <= cut]
-        expected[f] = (len(core), pytest.approx(mean(p.pr for p in core), abs=1e-3), pytest.approx(mean(p.pc for p in core), abs=1e-3))
-    found = {r.frame_id: (r.n, r.row, r.col) for r in catalogue.queries()["center_fix"](spark, folder).collect()}
-    assert found == expected
-
-
 def test_missing_pixels_are_filled_at_any_distance(spark):
     rng = random.Random(9)
     cells = [(f, r, c, float(rng.randrange(100)) if (f < 2 and rng.random() < (0.3, 0.004)[f]) or (f, r, c) == (1, 39, 39) else None) for f in range(3) for r in range(40) for c in range(40)]
@@ -71,7 +48,7 @@ def test_missing_pixels_are_filled_at_any_distance(spark):
 
 
 def test_regrid_takes_every_frame(spark):
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.01"
     frames = {r.frame_id for r in analyses.Tables(spark, folder).pixel.select("frame_id").distinct().collect()}
     assert {r.frame_id for r in catalogue.queries()["knn_regrid_frames"](spark, folder).select("frame_id").distinct().collect()} == frames and len(frames) > 1
 
