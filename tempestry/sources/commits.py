@@ -1,7 +1,7 @@
 """A folder of files that jobs add to as a whole or not at all: what the library's own sinks share.
 
     data/<job>/<attempt>/...        files of a task's attempt
-    entries/<job>/<attempt>.json    a line for each of them, with what a reader asks before it opens one
+    entries/<job>/<attempt>.json    a line for each thing in them, with what a reader asks before it opens a file
     commits/<version>-<job>.json    the attempts of a job that count
 
 A job is there once its commit is, a file written in one go. Files that no commit names are not: an aborted job deletes
@@ -72,7 +72,7 @@ class AttemptMessage(WriterCommitMessage):
 
 
 class CommittingWriter(DataSourceArrowWriter):
-    """Subclasses give each task's files as (name, bytes, entry) by files(batches)."""
+    """Subclasses give each task's files by files(batches): a name, the bytes, and entries with a name each."""
 
     def __init__(self, uri: str):
         self.uri, self.job = uri, uuid.uuid4().hex
@@ -85,10 +85,10 @@ class CommittingWriter(DataSourceArrowWriter):
         folder, context = Folder(self.uri), TaskContext.get()
         attempt = f"{context.partitionId()}-{context.taskAttemptId()}"
         lines = []
-        for name, data, entry in self.files(iterator):
+        for name, data, entries in self.files(iterator):
             path = f"data/{self.job}/{attempt}/{name}"
             folder.put(path, data)
-            lines.append(json.dumps(entry | {"name": name, "path": path, "bytes": len(data)}))
+            lines += [json.dumps({"bytes": len(data)} | entry | {"path": path}) for entry in entries]
         if lines:
             folder.put(f"entries/{self.job}/{attempt}.json", "\n".join(lines).encode())
         return AttemptMessage(attempt if lines else "")

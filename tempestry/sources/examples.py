@@ -28,14 +28,14 @@ class ExampleWriter(CommittingWriter):
     def __init__(self, options: dict):
         super().__init__(options["path"])
 
-    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, dict]]:
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, list[dict]]]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 keys = {k: row[k] for k in KEYS}
                 arrays = {k: np.array(row[k] or [], np.int32 if k in ("pr", "pc") else np.uint16) for k in ("pr", "pc", *CHANNELS)}
                 out = io.BytesIO()
                 np.savez_compressed(out, **arrays, **{k: np.str_(v or "") for k, v in keys.items()})
-                yield row["name"], out.getvalue(), keys | {"n_valid": int((arrays["v37"] > 0).sum())}
+                yield row["name"], out.getvalue(), [keys | {"name": row["name"], "n_valid": int((arrays["v37"] > 0).sum())}]
 
 
 class Some(D.InputPartition):

@@ -1,7 +1,8 @@
 """Images on a fixed grid of scan angles, in strips of compressed chunks; a scan reads the chunks that its filters need.
 
-A strip's file is a line of JSON and the chunks that hold anything, each a zlib stream of unsigned 16-bit numbers. The
-line says where each chunk begins. Axes are linear in the row and the column; y usually descends with the row.
+A strip is a line of JSON and the chunks that hold anything, each a zlib stream of unsigned 16-bit numbers. The line says
+where each chunk begins; a file holds strips one after the other. Axes are linear in the row and the column; y usually
+descends with the row.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +25,39 @@ from tempestry.sources.commits import CommittingWriter, Folder
 
 #: Numbers of a grid's definition: its size, the side of a chunk, axes, and how stored numbers become values.
 INTS, FLOATS = ("rows", "cols", "chunk", "fill"), ("x0", "dx", "y0", "dy", "scale", "offset")
+#: Bytes at which a file of strips is full, and strips that one task of a scan opens.
+FILE_BYTES, READ_TOGETHER = 1 << 26, 256
 SCHEMA = "frame long, pr int, pc int, scan_x double, scan_y double, value double"
 CHUNKS = "frame long, strip int, chunk int, bytes long"
 
 
 class GridWriter(CommittingWriter):
-    """Rows in order of frame, strip and chunk; a task holds a chunk and a strip's compressed chunks."""
+    """Rows in order of frame, strip and chunk; a task holds a chunk and the compressed strips of a file."""
 
     def __init__(self, options: dict):
         super().__init__(options["path"])
         self.grid = {k: int(options[k]) for k in INTS} | {k: float(options[k]) for k in FLOATS}
 
-    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, dict]]:
+    def files(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, list[dict]]]:
+        data, entries, number = bytearray(), [], 0
+        for strip, chunks in self.strips(batches):
+            spans, at = {}, 0
+            for chunk, packed in chunks:
+                spans[str(chunk)] = [at, len(packed)]
+                at += len(packed)
+            head = json.dumps({"frame": strip[0], "strip": strip[1], "chunks": spans}).encode() + b"\n"
+            entries.append({"name": f"{strip[0]}-{strip[1]}", "frame": strip[0], "strip": strip[1], "begin": len(data), "head": len(head), "bytes": len(head) + at, "grid": self.grid})
+            data += head
+            for _, packed in chunks:
+                data += packed
+            if len(data) >= FILE_BYTES:
+                yield f"{number}.grid", bytes(data), entries
+                data, entries, number = bytearray(), [], number + 1
+        if entries:
+            yield f"{number}.grid", bytes(data), entries
+
+    def strips(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[tuple[int, bytes]]]]:
+        """Each strip's chunks that hold anything, compressed."""
         side, fill = self.grid["chunk"], self.grid["fill"]
         strip, at, cells, chunks = None, None, None, []
 
@@ -54,25 +77,20 @@ class GridWriter(CommittingWriter):
                 if key != (*(strip or ()), at):
                     closed()
                     if key[:2] != strip and strip is not None:
-                        yield self.file(strip, chunks)
+                        yield strip, chunks
                         chunks = []
                     strip, at, cells = key[:2], key[2], np.full((side, side), fill, np.uint16)
                 cells[pr[lo:hi] % side, pc[lo:hi] % side] = raw[lo:hi]
         closed()
         if strip is not None:
-            yield self.file(strip, chunks)
+            yield strip, chunks
 
-    def file(self, strip: tuple[int, int], chunks: list[tuple[int, bytes]]) -> tuple[str, bytes, dict]:
-        begins = np.cumsum([0, *(len(data) for _, data in chunks)]).tolist()
-        spans = {str(at): [begin, len(data)] for (at, data), begin in zip(chunks, begins, strict=False)}
-        head = json.dumps({"frame": strip[0], "strip": strip[1], "chunks": spans}).encode() + b"\n"
-        entry = {"frame": strip[0], "strip": strip[1], "head": len(head), "grid": self.grid}
-        return f"{strip[0]}-{strip[1]}.grid", head + b"".join(data for _, data in chunks), entry
 
+class Strips(D.InputPartition):
+    """Strips of one grid."""
 
-class Strip(D.InputPartition):
-    def __init__(self, entry: dict):
-        self.entry = entry
+    def __init__(self, grid: dict, entries: list[dict]):
+        self.grid, self.entries = grid, entries
 
 
 class GridReader(D.DataSourceReader):
@@ -107,29 +125,37 @@ class GridReader(D.DataSourceReader):
         return np.unique(at[self.within(index, at) & self.within(axis, grid[first] + grid[step] * at)] // grid["chunk"])
 
     def partitions(self) -> list[D.InputPartition]:
-        out, strips = [], {}
+        asked: dict[str, list[dict]] = {}
+        wanted: dict[str, set[int]] = {}
         for e in Folder(self.uri).entries():
-            key = json.dumps(e["grid"], sort_keys=True)
-            if key not in strips:
-                strips[key] = set(self.wanted(e["grid"], "pr", "rows", "scan_y", "y0", "dy").tolist())
-            asked = bool(self.within("frame", np.array([e["frame"]]))[0]) and (self.frames is None or e["frame"] in self.frames)
-            if asked and e["strip"] in strips[key]:
-                out.append(Strip(e))
+            key = json.dumps(e.pop("grid"), sort_keys=True)
+            if key not in wanted:
+                wanted[key] = set(self.wanted(json.loads(key), "pr", "rows", "scan_y", "y0", "dy").tolist())
+            if e["strip"] in wanted[key] and bool(self.within("frame", np.array([e["frame"]]))[0]) and (self.frames is None or e["frame"] in self.frames):
+                asked.setdefault(key, []).append(e)
+        out = []
+        for key, entries in asked.items():
+            entries.sort(key=lambda e: (e["path"], e["begin"]))
+            out += [Strips(json.loads(key), entries[i : i + READ_TOGETHER]) for i in range(0, len(entries), READ_TOGETHER)]
         return out
 
-    def read(self, partition: Strip | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Strips | None) -> Iterator[pa.RecordBatch]:
+        """Each file is opened once, and the wanted chunks of its strips are read from it."""
         if partition is None:  # no strip was asked for
             return
-        entry, grid, folder = partition.entry, partition.entry["grid"], Folder(self.uri)
+        grid, folder = partition.grid, Folder(self.uri)
         columns = self.wanted(grid, "pc", "cols", "scan_x", "x0", "dx").tolist()
-        with folder.files.open_input_file(f"{folder.path}/{entry['path']}") as file:
-            spans = json.loads(file.read(entry["head"]))["chunks"]
-            for at in columns:
-                if str(at) in spans:
-                    begin, size = spans[str(at)]
-                    file.seek(entry["head"] + begin)
-                    data = file.read(size)
-                    yield self.listed(entry, at, size) if self.listing else self.pixels(entry, grid, at, zlib.decompress(data))
+        for path, entries in groupby(partition.entries if columns else [], key=lambda e: e["path"]):
+            with folder.files.open_input_file(f"{folder.path}/{path}") as file:
+                for entry in entries:
+                    file.seek(entry["begin"])
+                    spans = json.loads(file.read(entry["head"]))["chunks"]
+                    for at in columns:
+                        if str(at) in spans:
+                            begin, size = spans[str(at)]
+                            file.seek(entry["begin"] + entry["head"] + begin)
+                            data = file.read(size)
+                            yield self.listed(entry, at, size) if self.listing else self.pixels(entry, grid, at, zlib.decompress(data))
 
     def listed(self, entry: dict, at: int, size: int) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())

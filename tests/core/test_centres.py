@@ -100,7 +100,7 @@ def frames():
         if kind == "rim":
             ir = {(r - 6, c): v for (r, c), v in ir.items() if r >= 6}
         out.append(ir)
-    for _ in range(2):  # random clouds with holes
+    for _ in range(1):  # random clouds with holes
         out.append({(r, c): rng.choice([220, 225, 230, 250, 260]) + rng.random() for r in range(SIDE) for c in range(SIDE) if rng.random() < 0.97})
     return out
 

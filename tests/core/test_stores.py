@@ -69,12 +69,18 @@ def spark_filters(condition):
     return table[condition]
 
 
-def test_filters_are_handed_over_by_spark(spark, stored):
+def test_filters_are_handed_over_by_spark(spark, stored, monkeypatch):
     """The chunks' own table tells what Spark pushed: a filter on frame reaches the planner."""
     path, _ = stored
+    entries = commits.Folder(path).entries()
+    assert len({e["path"] for e in entries}) <= 4 and len(entries) == 9  # a file for each task, not for each strip
     chunks = grids.read(spark, path, list="chunks")
     assert chunks.count() == 33 and chunks.where("frame = 2").count() == 11
-    assert chunks.where("frame = 2").rdd.getNumPartitions() == 3  # a task for each strip asked for, not for all nine
+    reader = grids.GridReader({"path": path})
+    list(reader.pushFilters(spark_filters("frame = 1")))
+    assert [[e["frame"] for e in p.entries] for p in reader.partitions()] == [[1, 1, 1]]
+    monkeypatch.setattr(grids, "READ_TOGETHER", 2)
+    assert [len(p.entries) for p in grids.GridReader({"path": path}).partitions()] == [2, 2, 2, 2, 1]
 
 
 def test_crop_edges_and_unseen_points(spark, stored):
