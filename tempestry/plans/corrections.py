@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.operators import stencils
+from tempestry.operators import linear_fill, stencils
 from tempestry.operators.tables import kept, percentiles
 from tempestry.plans.registry import Tables, clip, query, wrap
 
@@ -137,3 +137,14 @@ def replayed(rows: DataFrame) -> DataFrame:
     left = F.when(F.col("amplitude").isNull(), F.col("d")).otherwise(F.col("d") - (F.col("amplitude") * F.col("basis") - F.col("known")))
     worst = F.coalesce(F.max(F.abs(left)), F.lit(0.0))
     return x.join(solved, "frame_id").groupBy("frame_id", "mismatched", "amplitude").agg(worst.alias("worst")).select("frame_id", "mismatched", F.round("amplitude", 4).alias("amplitude"), F.round("worst", 4).alias("worst"), (F.col("worst") <= REPLAY_K).alias("exact"))
+
+
+@query()
+def fill_invalid_linear(t: Tables) -> DataFrame:
+    """Missing pixels of a field by the linear interpolant of the valid ones around, the nearest one beyond their hull.
+
+    No SQL: triangles are searched for. tests/core/test_linear_fill.py has a brute-force version.
+    """
+    p = t.pixel.select(*stencils.CELL, F.when((F.col("pr") - 20) * (F.col("pr") - 20) + (F.col("pc") - 15) * (F.col("pc") - 15) > 30, F.col("v89")).alias("v89"))
+    found = linear_fill.fill(p, "v89")
+    return found.select(*stencils.CELL, F.round("filled", 5).alias("filled"), "how")
