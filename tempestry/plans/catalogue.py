@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # importing a module registers its queries
-from tempestry.plans import analyses, centres, corrections, fields, frames, guards, levers, observations, pixels, records, registry, reports, selection, stages, stores, streams, tracks  # noqa: F401
+from tempestry.plans import analyses, centres, corrections, fields, frames, guards, levers, observations, pixels, records, registry, reports, selection, stages, stores, streams, tracks, whole  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
