@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.operators.tables import shared_path
+from tempestry.operators import backfill, fingerprints, fits, stencils
+from tempestry.operators.tables import kept, shared_path
 from tempestry.plans.registry import Tables, query
 from tempestry.sources import examples, grids
 
@@ -95,3 +96,62 @@ def example_store(t: Tables) -> DataFrame:
     return examples.listing(t.spark, path).join(sums, "name").select("name", "physics_id", "version", "n_valid", "h89_sum")
 
 
+
+
+_BF = "o_orderkey AS example, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 70)::DOUBLE END AS ir_band8, CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 50)::DOUBLE END AS ir_band10, CASE WHEN o_orderkey % 5 < 3 THEN (o_custkey % 30)::DOUBLE END AS env_shear"
+_FOUND = "l_orderkey AS example, max(l_quantity) FILTER (l_linenumber <= 2) AS ir_band8, max(l_quantity) FILTER (l_linenumber BETWEEN 2 AND 4) AS ir_band10, min(l_discount) FILTER (l_linenumber >= 3) AS env_shear"
+_FILLED = ("ir_band8", "ir_band10", "env_shear")
+
+
+@query(f"""WITH e AS (SELECT {_BF} FROM orders), f AS (SELECT {_FOUND} FROM lineitem GROUP BY 1),
+x AS (SELECT e.*, {", ".join(f"f.{c} AS f_{c}" for c in _FILLED)} FROM e LEFT JOIN f USING (example)),
+n AS (SELECT *, {" + ".join(f"({c} IS NULL)::INT" for c in _FILLED)} AS asked, {" + ".join(f"({c} IS NULL AND f_{c} IS NOT NULL)::INT" for c in _FILLED)} AS got FROM x)
+SELECT example, CASE WHEN asked = 0 THEN 'complete' ELSE 'would-update' END AS dry, CASE WHEN asked = 0 THEN 'complete' WHEN got = asked THEN 'updated' WHEN got > 0 THEN 'partial' ELSE 'failed' END AS status,
+  CASE WHEN asked - got = 0 THEN 'complete' ELSE 'failed' END AS again, {", ".join(f"coalesce({c}, f_{c}) AS {c}" for c in _FILLED)} FROM n""")
+def example_backfill(t: Tables) -> DataFrame:
+    """Stored examples completed from what was found: what a dry run, a run and a second run say, and the values then."""
+    path = shared_path(t.spark, "backfill")
+    band = lambda when, c, m, name: F.when(F.expr(when), (F.col(c) % m).cast("double")).alias(name)
+    fits.store(t.orders.select(F.col("o_orderkey").alias("example"), band("o_orderkey % 2 = 0", "o_custkey", 70, "ir_band8"), band("o_orderkey % 3 = 0", "o_custkey", 50, "ir_band10"), band("o_orderkey % 5 < 3", "o_custkey", 30, "env_shear")), path)
+    line = F.col("l_linenumber")
+    found = t.lineitem.groupBy(F.col("l_orderkey").alias("example")).agg(
+        F.max(F.when(line <= 2, F.col("l_quantity"))).alias("ir_band8"), F.max(F.when(line.between(2, 4), F.col("l_quantity"))).alias("ir_band10"), F.min(F.when(line >= 3, F.col("l_discount"))).alias("env_shear")
+    )
+    dry = kept(backfill.run(t.spark, path, found, "example", _FILLED, dry_run=True).withColumnRenamed("status", "dry"))
+    ran = backfill.run(t.spark, path, found, "example", _FILLED)
+    again = backfill.run(t.spark, path, found, "example", _FILLED).withColumnRenamed("status", "again")
+    return dry.join(ran, "example").join(again, "example").join(fits.stored(t.spark, path, ["example"]), "example")
+
+
+_COPY = "SELECT frame_id + 100000 AS candidate_id, pr, pc, CASE WHEN frame_id % 3 = 1 AND pr = 5 AND pc = 7 THEN ir + 0.01 ELSE ir END AS ir FROM pixel_many WHERE frame_id % 4 <> 0 UNION ALL SELECT frame_id + 200000, pr, pc, ir FROM pixel_many WHERE frame_id % 8 = 0"
+
+
+@query(f"""WITH c AS ({_COPY}), n AS (SELECT frame_id, count(*) AS n FROM pixel_many GROUP BY 1), m AS (SELECT candidate_id, count(*) AS n FROM c GROUP BY 1),
+k AS (SELECT p.frame_id, c.candidate_id, count(*) AS k FROM pixel_many p JOIN c ON c.pr = p.pr AND c.pc = p.pc AND c.ir = p.ir AND c.candidate_id IN (p.frame_id + 100000, p.frame_id + 200000) GROUP BY 1, 2)
+SELECT k.frame_id, min(k.candidate_id) AS candidate_id FROM k JOIN n ON n.frame_id = k.frame_id JOIN m ON m.candidate_id = k.candidate_id WHERE k = n.n AND k = m.n GROUP BY 1""")
+def frame_reproduced(t: Tables) -> DataFrame:
+    """Stored frames and the fetched ones that are the same pixel for pixel, found by fingerprints of their content."""
+    p = t.pixel_many
+    touched = F.when((F.col("frame_id") % 3 == 1) & (F.col("pr") == 5) & (F.col("pc") == 7), F.col("ir") + 0.01).otherwise(F.col("ir"))
+    fetched = p.where("frame_id % 4 <> 0").select((F.col("frame_id") + 100_000).alias("candidate_id"), "pr", "pc", touched.alias("ir"))
+    fetched = fetched.union(p.where("frame_id % 8 = 0").select(F.col("frame_id") + 200_000, "pr", "pc", "ir"))
+    return fingerprints.reproduced(p, fetched, "frame_id", "candidate_id", ["pr", "pc", "ir"])
+
+
+@query("""WITH n AS (SELECT a.frame_id, a.pr, a.pc, min({'r': b.pr, 'c': b.pc}) AS s FROM pixel_many a JOIN pixel_many b ON a.frame_id = b.frame_id AND abs(b.pr - a.pr) + abs(b.pc - a.pc) = 1 GROUP BY 1, 2, 3)
+SELECT n.frame_id, round(avg(b.v37), 5) AS mean, count(*) AS n, 0::BIGINT AS built FROM n JOIN pixel_many b ON b.frame_id = n.frame_id AND b.pr = s.r AND b.pc = s.c GROUP BY 1""")
+def geometry_reused(t: Tables) -> DataFrame:
+    """Frames regridded by neighbours that are kept under their coordinates' fingerprint: the second time none is built."""
+    path, p = shared_path(t.spark, "geometry"), t.pixel_many
+    _, first = fingerprints.neighbours_by_content(p, "frame_id", ["pr", "pc"], path, _beside)
+    near, built = fingerprints.neighbours_by_content(p, "frame_id", ["pr", "pc"], path, _beside)
+    values = p.select("frame_id", F.col("pr").alias("sr"), F.col("pc").alias("sc"), "v37")
+    taken = near.join(values, ["frame_id", "sr", "sc"])
+    return taken.groupBy("frame_id").agg(F.round(F.avg("v37"), 5).alias("mean"), F.count("*").alias("n")).withColumn("built", F.lit(built if first else -1).cast("long"))
+
+
+def _beside(pixels: DataFrame) -> DataFrame:
+    """frame_id, pr, pc and the place (sr, sc) of the first pixel that touches it by an edge."""
+    sides = [(i, j, 1.0) for i, j in ((-1, 0), (0, -1), (0, 1), (1, 0))]
+    sent = stencils.spread(pixels.withColumn("at", F.struct("pr", "pc")), sides, "at")
+    return sent.groupBy("frame_id", "pr", "pc").agg(F.min("v").alias("s")).join(pixels.select(*stencils.CELL), stencils.CELL).select(*stencils.CELL, F.col("s.pr").alias("sr"), F.col("s.pc").alias("sc"))
