@@ -29,6 +29,12 @@ def kept(df: DataFrame, name: str = "steps") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(x: Column) -> Column:
+    """x as a generator of one row: filters and projections above it don't write its expression out again and again.
+    It must be the select's only one."""
+    return F.explode(F.array(x))
+
+
 def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with k, each row's rank from 1 over the whole table, and n, the number of rows.
 
@@ -46,6 +52,35 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
     return found.withColumn("k", F.col("_before") + index + 1).drop("_part", "_place", "_before", "_rows")
 
 
+def ranked_within(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """df with k, each row's rank from 1 within its group, and n, the group's rows. The ranks come from one range sort over
+    the whole table, less those of the groups before, so a group may be larger than a task."""
+    r = ranked(df, key, *order)
+    groups = r.groupBy(F.col(key).alias("_key")).agg(F.min("k").alias("_first"), F.count("*").alias("_size"))
+    found = r.drop("n").join(groups, F.col(key).eqNullSafe(F.col("_key")))
+    return found.withColumn("k", F.col("k") - F.col("_first") + 1).withColumnRenamed("_size", "n").drop("_key", "_first")
+
+
+#: Rows of a group that a window sorts at once.
+RUN = 4096
+
+
+def in_runs(df: DataFrame, key: str, *order: Column | str, before: int, run: int | None = None) -> DataFrame:
+    """df with k and n as ranked_within(), `run`, and `own`: for windows of a row and at most `before` rows ahead of it.
+
+    A group is cut into runs by rank; the last rows of a run are there again in the next one, not as its own. A window
+    partitioned by key and run, ordered by k, finds all that it looks back at; keep the rows that are own afterwards.
+    """
+    run = run or RUN
+    if before > run:
+        raise ValueError("a window looks back further than a run is long")
+    r = ranked_within(df, key, *order)
+    at, left = F.floor((F.col("k") - 1) / run), (F.col("k") - 1) % run
+    own = F.struct(at.alias("run"), F.lit(True).alias("own"))
+    again = F.when(left >= run - before, F.array(own, F.struct((at + 1).alias("run"), F.lit(False).alias("own")))).otherwise(F.array(own))
+    return r.select("*", F.explode(again).alias("_r")).select(*r.columns, F.col("_r.run").alias("run"), F.col("_r.own").alias("own"))
+
+
 #: Values of one group that a task of percentiles() sorts.
 SORTED_ROWS, BINS = 10_000, 1024
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
 from tempestry.operators import asof, neighbours, profiles, stencils
-from tempestry.operators.tables import ranked
+from tempestry.operators.tables import ranked_within
 from tempestry.plans.pixels import _WVIR, storm
 from tempestry.plans.registry import Tables, clip, distance, query, wrap
 from tempestry.plans.tracks import _BRACKET, _LON
@@ -136,8 +136,8 @@ SELECT frame_id, pr, pc FROM k WHERE n <= 200""")
 def pixel_subsample(t: Tables) -> DataFrame:
     """Two hundred pixels of each frame in a seeded order (a sampling operator)."""
     h = F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in stencils.CELL)).cast("binary"))
-    k = t.pixel.select(*stencils.CELL, h.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("frame_id").orderBy("h", "pr", "pc")))
-    return k.where("n <= 200").select(*stencils.CELL)
+    k = ranked_within(t.pixel.select(*stencils.CELL, h.alias("h")), "frame_id", "h", "pr", "pc")
+    return k.where("k <= 200").select(*stencils.CELL)
 
 
 @query("""WITH x AS (SELECT frame_id, pr, pc, v37, lat, lon FROM pixel), bad AS (SELECT * FROM x WHERE v37 IS NULL),
@@ -164,8 +164,7 @@ def fill_invalid_whole(t: Tables) -> DataFrame:
 SELECT frame_id, round(sum(ir) FILTER (n <= greatest(1, CAST(floor(0.1 * k) AS BIGINT))) / sum(ir), 6) AS concentration FROM r GROUP BY 1""")
 def concentration(t: Tables) -> DataFrame:
     """Share of a frame's total in its largest tenth."""
-    w = Window.partitionBy("frame_id")
-    r = t.pixel.select("frame_id", "ir", F.row_number().over(w.orderBy(F.desc("ir"), "pr", "pc")).alias("n"), F.count("*").over(w).alias("k"))
+    r = ranked_within(t.pixel.select(*stencils.CELL, "ir"), "frame_id", F.desc("ir"), "pr", "pc").select("frame_id", "ir", F.col("k").alias("n"), F.col("n").alias("k"))
     top = F.sum(F.when(F.col("n") <= F.greatest(F.lit(1), F.floor(0.1 * F.col("k"))), F.col("ir")))
     return r.groupBy("frame_id").agg(F.round(top / F.sum("ir"), 6).alias("concentration"))
 
@@ -187,8 +186,7 @@ p AS (SELECT DISTINCT storm_id, CAST(floor(j * greatest(n, 6) / 6.0) AS BIGINT)
 SELECT k.storm_id, k.fix_id FROM k JOIN p ON k.storm_id = p.storm_id AND k.i = p.i""")
 def thin_per_storm(t: Tables) -> DataFrame:
     """At most six evenly spaced fixes of each storm (a sampling operator)."""
-    w = Window.partitionBy("storm_id")
-    k = t.track.select("storm_id", "fix_id", (F.row_number().over(w.orderBy("valid_time")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    k = ranked_within(t.track.select("storm_id", "fix_id", "valid_time"), "storm_id", "valid_time").withColumn("i", (F.col("k") - 1).cast("long"))
     picks = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.floor(j * F.greatest("n", F.lit(6)) / 6.0))
     return k.where(F.array_contains(picks, F.col("i"))).select("storm_id", "fix_id")
 

@@ -364,8 +364,9 @@ def bias_rmse(t: Tables) -> DataFrame:
 SELECT p.frame_id, p.pr, p.pc, round(p.v37 - b.scalar_shift, 5) AS scalar, round(p.v37 - b.vh_shift, 5) AS vh FROM pixel p JOIN b ON p.frame_id = b.frame_id""")
 def bias_calibration(t: Tables) -> DataFrame:
     """Pixels less their frame's bias, clamped to 40 K for scalar fields and 5 K for polarised ones."""
-    bias = F.avg(F.col("v37") - 200).over(Window.partitionBy("frame_id"))
-    return t.pixel.withColumn("bias", bias).where("bias is not null").select(*stencils.CELL, F.round(F.col("v37") - C.clip(F.col("bias"), -40, 40), 5).alias("scalar"), F.round(F.col("v37") - C.clip(F.col("bias"), -5, 5), 5).alias("vh"))
+    bias = t.pixel.groupBy("frame_id").agg(F.avg(F.col("v37") - 200).alias("bias")).where("bias is not null")
+    x = t.pixel.join(bias, "frame_id")
+    return x.select(*stencils.CELL, F.round(F.col("v37") - C.clip(F.col("bias"), -40, 40), 5).alias("scalar"), F.round(F.col("v37") - C.clip(F.col("bias"), -5, 5), 5).alias("vh"))
 
 
 _FIT = "SELECT frame_id, 210.0 + (v37 - 200) * 0.5 + (h37 - 190) * 0.25 + (pr % 5) AS y, v37 - 200 AS a, h37 - 190 AS b FROM pixel WHERE v37 IS NOT NULL AND h37 IS NOT NULL"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.operators import asof, neighbours
-from tempestry.operators.tables import ranked
+from tempestry.operators.tables import in_runs, once, ranked
 from tempestry.plans.registry import Tables, clip, query, wrap
 from tempestry.sources import besttrack, listings
 
@@ -26,7 +26,7 @@ def listing_parse_goes(t: Tables) -> DataFrame:
   CAST(epoch(strptime(regexp_extract(filename, '(\\d{14})\\.nc', 1), '%Y%m%d%H%M%S')) AS BIGINT) AS start_s FROM overpass_file WHERE split_part(filename, '_', 4) <> 'era5'""")
 def listing_parse_tc(t: Tables) -> DataFrame:
     """Fields of overpass file names; environment files are refused."""
-    x = t.overpass_file.select("file_id", listings.overpass_file(F.col("filename")).alias("x")).where("x is not null")
+    x = t.overpass_file.select("file_id", once(listings.overpass_file(F.col("filename"))).alias("x")).where("x is not null")
     return x.select("file_id", "x.basin", "x.storm_num", "x.season", "x.instrument", "x.granule", F.unix_seconds(F.col("x.start").cast("timestamp")).alias("start_s"))
 
 
@@ -240,8 +240,9 @@ def knn_regrid_frames(t: Tables) -> DataFrame:
 @query("""SELECT storm_id, fix_id, count(*) OVER w AS held, round(avg(vmax_kt) OVER w, 5) AS mean_vmax, round(max(vmax_kt) OVER w, 1) AS max_vmax FROM track WINDOW w AS (PARTITION BY storm_id ORDER BY valid_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def history_window(t: Tables) -> DataFrame:
     """The last twelve results of each storm, as running figures."""
-    w = Window.partitionBy("storm_id").orderBy("valid_time").rowsBetween(-11, 0)
-    return t.track.select("storm_id", "fix_id", F.count("*").over(w).alias("held"), F.round(F.avg("vmax_kt").over(w), 5).alias("mean_vmax"), F.round(F.max("vmax_kt").over(w), 1).alias("max_vmax"))
+    w = Window.partitionBy("storm_id", "run").orderBy("k").rowsBetween(-11, 0)
+    fixes = in_runs(t.track.select("storm_id", "fix_id", "valid_time", "vmax_kt"), "storm_id", "valid_time", before=11)
+    return fixes.select("own", "storm_id", "fix_id", F.count("*").over(w).alias("held"), F.round(F.avg("vmax_kt").over(w), 5).alias("mean_vmax"), F.round(F.max("vmax_kt").over(w), 1).alias("max_vmax")).where("own").drop("own")
 
 
 @query("""WITH d AS (SELECT user_id, event_id, event_type, props FROM events), j AS (SELECT user_id, event_type AS status FROM d)

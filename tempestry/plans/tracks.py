@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
 from tempestry.operators import asof
+from tempestry.operators.tables import in_runs
 from tempestry.plans.registry import Tables, clip, distance, query, wrap
 
 _BRACKET = """b AS (SELECT o.pass_id, o.storm_id, o.sensor, o.scene_time, t.valid_time AS t0, t.lat AS lat0, t.lon AS lon0, t.vmax_kt AS v0, t.rmw_nm AS m0
@@ -64,8 +65,9 @@ def track_extrapolate(t: Tables) -> DataFrame:
 @query(f"""SELECT fix_id, round({wrap('lon')}, 6) AS lon, round({wrap('lon - p')}, 6) AS delta FROM (SELECT *, lag(lon) OVER (PARTITION BY storm_id ORDER BY valid_time) AS p FROM track)""")
 def track_wrap_delta(t: Tables) -> DataFrame:
     """Longitudes in range and the shortest step from the fix before."""
-    before = F.lag("lon").over(Window.partitionBy("storm_id").orderBy("valid_time"))
-    return t.track.select("fix_id", F.round(C.wrap180(F.col("lon")), 6).alias("lon"), F.round(C.lon_delta(before, F.col("lon")), 6).alias("delta"))
+    before = F.lag("lon").over(Window.partitionBy("storm_id", "run").orderBy("k"))
+    fixes = in_runs(t.track.select("storm_id", "fix_id", "valid_time", "lon"), "storm_id", "valid_time", before=1)
+    return fixes.select("own", "fix_id", F.round(C.wrap180(F.col("lon")), 6).alias("lon"), F.round(C.lon_delta(before, F.col("lon")), 6).alias("delta")).where("own").drop("own")
 
 
 @query(f"""WITH {_BRACKET}, pos AS (SELECT pass_id, lat0 + (lat1 - lat0) * r AS lat, {_LON} AS lon FROM x),
@@ -149,13 +151,13 @@ def station_nearest_in_range(t: Tables) -> DataFrame:
     return met.groupBy("fix_id").agg(F.min_by("station_id", F.struct("d", "station_id")).alias("station_id"), F.round(F.min("d"), 4).alias("miles"))
 
 
-@query("""WITH s AS (SELECT pass_id, sensor, scene_time FROM overpass)
-SELECT a.pass_id, b.pass_id AS other_id FROM s a JOIN s b ON a.sensor = b.sensor AND a.pass_id < b.pass_id AND abs(epoch_us(a.scene_time) - epoch_us(b.scene_time)) <= 600000000""")
+@query("""SELECT a.pass_id, b.pass_id AS other_id FROM overpass a ASOF JOIN overpass b ON a.sensor = b.sensor AND b.scene_time <= a.scene_time - INTERVAL 1 MICROSECOND WHERE epoch_us(a.scene_time) - epoch_us(b.scene_time) <= 600000000""")
 def same_scan_match(t: Tables) -> DataFrame:
-    """Pairs of the same sensor at most ten minutes apart, by buckets of that width and their neighbours."""
-    s = t.overpass.select("pass_id", "sensor", C.seconds(F.col("scene_time")).alias("s")).withColumn("bucket", F.floor(F.col("s") / 600))
-    other = s.select(F.col("pass_id").alias("other_id"), "sensor", F.col("s").alias("s2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    return s.join(other, ["sensor", "bucket"]).where((F.col("pass_id") < F.col("other_id")) & (F.abs(F.col("s") - F.col("s2")) <= 600)).select("pass_id", "other_id")
+    """Each pass with the last one of its sensor before it, if that is of the same scan: ten minutes at most."""
+    passes = t.overpass.select("sensor", "pass_id", F.col("scene_time").cast("timestamp").alias("valid_time"))
+    just_before = passes.withColumn("valid_time", F.col("valid_time") - F.expr("interval 1 microsecond"))
+    found = asof.bracket(just_before, passes.withColumnRenamed("pass_id", "other_id"), ["sensor"], "valid_time", ["pass_id"], ["other_id"], 3600)
+    return found.where(F.unix_micros("t") + 1 - F.unix_micros("f0.t") <= 600_000_000).select("pass_id", F.col("f0.other_id").alias("other_id"))
 
 
 @query(f"""SELECT fix_id, round({distance('lat', 'lon', '20.0', '179.5')}, 4) AS km, round(2 * 6371 * asin(sqrt(pow(sin(radians(20 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(20)) * pow(sin(radians(179.5 - lon) / 2), 2))), 4) AS great_circle_km,

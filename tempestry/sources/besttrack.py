@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempestry.operators.tables import once
+
 
 def degrees(raw: Column) -> Column:
     """'281N' or '0801W' in tenths as signed degrees."""
@@ -25,7 +27,7 @@ def parse(lines: DataFrame, storm: str, line_no: str, text: str) -> DataFrame:
     Lines of another technique or lead time, with under 11 fields or without a readable time are left out.
     """
     at = lambda k: F.get("f", F.lit(k))
-    cut = lines.select(F.col(storm).alias("storm_id"), F.col(line_no).alias("line_no"), F.split(F.col(text), ",").alias("f"))
+    cut = lines.select(F.col(storm).alias("storm_id"), F.col(line_no).alias("line_no"), once(F.split(F.col(text), ",")).alias("f"))
     rows = cut.where((F.size("f") >= 11) & (F.trim(at(4)) == "BEST") & (F.trim(at(5)) == "0")).select(
         "storm_id", "line_no", F.try_to_timestamp(F.trim(at(2)), F.lit("yyyyMMddHH")).alias("valid_time"),
         degrees(at(6)).alias("lat"), degrees(at(7)).alias("lon"), F.trim(at(8)).try_cast("double").alias("vmax_kt"), _number(at(9)).alias("mslp_mb"),

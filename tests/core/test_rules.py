@@ -4,9 +4,10 @@ import datetime as dt
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempestry.operators import asof
+from tempestry.operators import asof, tables
 from tempestry.plans import observations, selection
 
 START = dt.datetime(2024, 6, 1)
@@ -64,3 +65,19 @@ def test_as_of_over_buckets_and_one_long_storm(spark):
         assert got == want
     parts = asof.bracket(points, series, ["storm_id"], "valid_time", ["pass_id"], ["v"], 3600).where("storm_id = 1").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1 and max(r["count"] for r in parts) < 1000
+
+
+def test_ranks_and_runs_within_groups(spark):
+    """Windows over runs see what windows over whole groups see; one group has a third of all rows."""
+    rows = [(g, (i * 37) % n, float(i)) for g, n in ((1, 900), (2, 7), (3, 1), (None, 20), *((k, 60) for k in range(4, 34))) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, t int, v double").repartition(5)
+    whole = Window.partitionBy("g").orderBy("t")
+    want = {(r.g, r.t, r.v): (r.k, r.n, r.s) for r in df.select("*", F.row_number().over(whole).alias("k"), F.count("*").over(Window.partitionBy("g")).alias("n"), F.sum("v").over(whole.rowsBetween(-3, 0)).alias("s")).collect()}
+    assert {(r.g, r.t, r.v): (r.k, r.n) for r in tables.ranked_within(df, "g", "t").collect()} == {x: w[:2] for x, w in want.items()}
+    for run in (3, 50, 4096):
+        cut = tables.in_runs(df, "g", "t", before=3, run=run)
+        got = cut.select("*", F.sum("v").over(Window.partitionBy("g", "run").orderBy("k").rowsBetween(-3, 0)).alias("s")).where("own")
+        assert {(r.g, r.t, r.v): (r.k, r.n, r.s) for r in got.collect()} == want
+        assert cut.groupBy("g", "run").count().agg(F.max("count")).first()[0] <= run + 3
+    with pytest.raises(ValueError):
+        tables.in_runs(df, "g", "t", before=5, run=4)

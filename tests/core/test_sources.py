@@ -68,3 +68,17 @@ def test_ranks_over_the_whole_table(spark):
     rows = sorted((r.b, r.a, r.k, r.n) for r in tables.ranked(df, "b", "a").collect())
     assert [r[2] for r in rows] == list(range(1, 102)) and {r[3] for r in rows} == {101}
     assert tables.ranked(df.limit(0), "a").count() == 0
+
+
+def test_a_line_is_rendered_and_split_once(spark):
+    """Filters and fields above the split don't write the line's expression out again."""
+    from tempestry.plans import catalogue
+
+    plan = catalogue.queries()["bdeck_parse_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("concat_ws(") == 1 and plan.count("split(") == 1
+
+
+def test_hour_prefixes(spark):
+    df = spark.sql("select timestamp '2023-12-31 22:59:59' as a, timestamp '2024-01-01 01:00:00' as b")
+    (row,) = df.select(listings.hour_prefixes(F.col("a"), F.col("b"), "ABI-L1b-RadF").alias("x"), listings.hour_prefixes(F.col("b"), F.col("b"), "P").alias("y")).collect()
+    assert row.x == ["ABI-L1b-RadF/2023/365/22", "ABI-L1b-RadF/2023/365/23", "ABI-L1b-RadF/2024/001/00", "ABI-L1b-RadF/2024/001/01"] and row.y == ["P/2024/001/01"]
