@@ -341,3 +341,42 @@ def digest(rows: DataFrame, planned: DataFrame) -> DataFrame:
     types = [pa.string() if c in ("audit", "repaired_sha256") else pa.int64() for c in names]
     of = lambda done: pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
     return in_order(rows, planned).mapInArrow(task, ", ".join(f"{c} {'string' if t == pa.string() else 'long'}" for c, t in zip(names, types, strict=True)))
+
+
+def oracle_sql() -> str:
+    """The digest in DuckDB's SQL, row by row for each conversation, without matrices; rows have distinct conv_id and turn.
+
+    A way is its cost in nine digits and its audit, so that ways compare as texts; NULL is none.
+    """
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(k) + 1), lambda i: ascii(substr(k, i::INT, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda v, j: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    add = lambda x, cost, edit: f"CASE WHEN {x} IS NOT NULL THEN lpad((substr({x}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || '{edit}' END"
+    least = lambda *x: f"list_min(list_filter([{', '.join(x)}], lambda way: way IS NOT NULL))"
+    into_u = least("u", add("z", INSERT, "I"), add("s", INSERT, "I"), add("a", INSERT, "I"))
+    into_a = least("a", add("u", INSERT, "I"), add("z", 2 * INSERT, "II"), add("s", 2 * INSERT, "II"))
+    more = f"(CASE WHEN kind = 'truncated' THEN {TRUNCATED} ELSE 0 END)"
+    kept, free = lambda x, c: f"CASE WHEN NOT gone AND initial = '{c}' THEN {add(x, more, 'K')} END", lambda x: f"CASE WHEN NOT gone THEN {add(x, f'{REROLE} + {more}', 'R')} END"
+    return rf"""
+    WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+    faults AS (SELECT *, {crc} % 20 AS fault FROM named),
+    rows_ AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM faults, range(0, 2) c(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM rows_),
+    kinds AS (SELECT *, substr(role, 1, 1) AS initial, trim(text, {space}) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) AS seen FROM placed),
+    lines AS MATERIALIZED (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind, body = '' OR seen > 1 AS gone,
+      lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) AS before FROM kinds),
+    ways AS (SELECT DISTINCT conv_id, 0::BIGINT AS rn, '000000000' AS z, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM lines
+      UNION ALL SELECT conv_id, rn, {add("z", DELETE, "D")}, {least(add("s", DELETE, "D"), kept("z", "s"))}, {least(add("into_u", DELETE, "D"), kept("free_u", "u"), free("free_u"))}, {least(add("into_a", DELETE, "D"), kept("into_u", "a"), free("into_u"))}
+      FROM (SELECT *, {least("z", "s", "into_a")} AS free_u FROM (SELECT w.conv_id, l.rn, l.initial, l.kind, l.gone, z, s, {into_u} AS into_u, {into_a} AS into_a FROM ways w JOIN lines l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.rn = w.rn + 1))),
+    best AS (SELECT conv_id, {least("z", into_a)} AS way FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) AS last FROM ways) WHERE last = 1),
+    edits AS (SELECT conv_id, i, substr(substr(way, 10), i::INT, 1) AS edit FROM best, LATERAL (SELECT unnest(range(1, strlen(way) - 8)) AS i)),
+    used AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS rn FROM edits),
+    outs AS (SELECT u.conv_id, i, edit, l.role, l.text, row_number() OVER (PARTITION BY u.conv_id ORDER BY i) AS o FROM used u LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM u.conv_id AND l.rn = u.rn AND edit <> 'I' WHERE edit <> 'D'),
+    turns AS (SELECT *, max((o = 1 AND edit = 'K' AND role[1] = 's')::INT) OVER (PARTITION BY conv_id) AS lead FROM outs),
+    texts AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i)) AS sha FROM turns GROUP BY 1),
+    counts AS (SELECT conv_id, count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated,
+      count(*) FILTER (rn > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM lines GROUP BY 1),
+    every AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT e.conv_id, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(gaps, 0)::BIGINT AS gaps,
+      coalesce(substr(way, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(way, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+    FROM every e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id"""

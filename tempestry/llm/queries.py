@@ -103,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.oracle_sql(), "op12_license_scan": licenses.oracle_sql(), "op13_filter_audit": filter_audit.oracle_sql()}
+    return {"op10_line_dedup": line_dedup.oracle_sql(), "op11_conversation_repair": conversations.oracle_sql(), "op12_license_scan": licenses.oracle_sql(), "op13_filter_audit": filter_audit.oracle_sql()}

@@ -6,6 +6,7 @@ import re
 import zlib
 from itertools import product
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,16 @@ def test_equals_plain_fold(spark, expected, run_bits, fan):
     assert sorted((tuple(r) for r in found.collect()), key=str) == expected
 
 
+def test_sql_is_the_same(spark):
+    """Rows of distinct conversation and turn, as ties go by text there and by its hash here."""
+    rows = [r for r in {(r[0], r[1]): r for r in corpus() if r[0] not in (900, 902, 903)}.values()]
+    con = duckdb.connect()
+    con.register("conversations", spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    cur = con.execute(c.oracle_sql())
+    assert [d[0] for d in cur.description] == COLUMNS
+    assert sorted(cur.fetchall(), key=str) == brute(spark, rows)
+
+
 def test_fold_and_matrices_equal_enumeration():
     rng = random.Random(2)
     letter = {"": 0, "truncated": 1, "blank": 2, "duplicate": 3}
