@@ -261,6 +261,17 @@ def spread_widening(measured: Column) -> Column:
     return F.when(measured > 0, clip(measured, 1.0, 6.0)).otherwise(K.SPREAD_DEFAULT)
 
 
+def one_decimal(x: Column) -> Column:
+    """x in text as C's printf("%.1f") has it: by the exact binary value, halves to even. Java's format rounds the shortest
+    decimal that names the value, halves up: 2.15, in truth a little less, becomes 2.2 there and 2.1 here."""
+    a, b = 8 * x, 2 * x  # exact, and so is total + rest, the tenfold
+    total = a + b
+    part = total - a
+    rest = (a - (total - part)) + (b - part)
+    tenfold = F.when((total - F.floor(total) == 0.5) & (rest != 0), F.floor(total) + (rest > 0).cast("int")).otherwise(F.rint(total))
+    return F.when(x.isNotNull(), F.format_string("%.1f", tenfold / 10))
+
+
 def hours_text(h: Column) -> Column:
     minutes = F.concat(F.round(h * 60, 0).cast("long").cast("string"), F.lit(" min"))
     return F.when(h < 1, minutes).otherwise(F.format_string("%.1f h", F.round(h, 1)))

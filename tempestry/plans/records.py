@@ -92,9 +92,9 @@ def abort_rule(t: Tables) -> DataFrame:
 CASE WHEN sum(size_bytes) < 1024 THEN sum(size_bytes)::VARCHAR || ' B' WHEN sum(size_bytes) < 1048576 THEN printf('%.1f KB', sum(size_bytes) / 1024.0) WHEN sum(size_bytes) < 1073741824 THEN printf('%.1f MB', sum(size_bytes) / 1048576.0) ELSE printf('%.1f GB', sum(size_bytes) / 1073741824.0) END AS size
 FROM overpass_file WHERE split_part(filename, '_', 4) <> 'era5' GROUP BY ROLLUP (filename[23:24], split_part(filename, '_', 4))""")
 def estimate_sizes_rollup(t: Tables) -> DataFrame:
-    """Files and bytes by basin and instrument with subtotals."""
+    """Files and bytes by basin and instrument with subtotals, the bytes in words up to GB."""
     x = t.overpass_file.select("size_bytes", listings.overpass_file(F.col("filename")).alias("x")).where("x is not null").select("size_bytes", "x.basin", "x.instrument")
-    return x.rollup("basin", "instrument").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).withColumn("size", listings.human_bytes(F.col("bytes")))
+    return x.rollup("basin", "instrument").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).withColumn("size", listings.human_bytes(F.col("bytes"), "GB"))
 
 
 def env(t: Tables) -> DataFrame:

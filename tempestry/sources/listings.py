@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempestry.functions.columns import one_decimal
+
 GRANULE = r"(\d{8})-S(\d{6})-E(\d{6})"
 
 
@@ -95,9 +97,12 @@ def links(pages: DataFrame, text: str = "value") -> DataFrame:
     return pages.select(F.explode(F.regexp_extract_all(text, F.lit(r'href="([^"?/][^"]*)"'), 1)).alias("href")).distinct()
 
 
-def human_bytes(n: Column) -> Column:
-    """Sizes in steps of 1024, one decimal from KB on."""
+def human_bytes(n: Column, largest: str = "TB") -> Column:
+    """Sizes in steps of 1024, one decimal from KB on; larger ones stay in the largest unit."""
+    units = ("KB", "MB", "GB", "TB")
+    units = units[: units.index(largest) + 1]
+    text = lambda k, unit: F.concat(one_decimal(n / float(1024**k)), F.lit(f" {unit}"))
     out = F.when(n < 1024, F.format_string("%d B", n))
-    for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / float(1024**k)))
-    return out.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+    for k, unit in enumerate(units[:-1], 1):
+        out = out.when(n < 1024 ** (k + 1), text(k, unit))
+    return out.when(n.isNotNull(), text(len(units), units[-1]))

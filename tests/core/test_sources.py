@@ -82,3 +82,12 @@ def test_hour_prefixes(spark):
     df = spark.sql("select timestamp '2023-12-31 22:59:59' as a, timestamp '2024-01-01 01:00:00' as b")
     (row,) = df.select(listings.hour_prefixes(F.col("a"), F.col("b"), "ABI-L1b-RadF").alias("x"), listings.hour_prefixes(F.col("b"), F.col("b"), "P").alias("y")).collect()
     assert row.x == ["ABI-L1b-RadF/2023/365/22", "ABI-L1b-RadF/2023/365/23", "ABI-L1b-RadF/2024/001/00", "ABI-L1b-RadF/2024/001/01"] and row.y == ["P/2024/001/01"]
+
+
+def test_sizes_in_words(spark):
+    """Beyond the largest unit the figure grows; halves go to the even digit, as printf does it."""
+    sizes = [1023, 1024 + 256, 1024 + 768, 3 * 1024**4 // 2, None]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    say = lambda *a: [r.x for r in df.select(listings.human_bytes(F.col("n"), *a).alias("x")).collect()]
+    assert say("GB") == ["1023 B", "1.2 KB", "1.8 KB", "1536.0 GB", None]
+    assert say() == ["1023 B", "1.2 KB", "1.8 KB", "1.5 TB", None]
