@@ -20,7 +20,8 @@ def radial_mean(pixels: DataFrame, r: Column, value: Column, keys: Sequence[str]
 def ring_scores(pixels: DataFrame, r: Column, theta: Column, strength: Column, keys: Sequence[str], step: float, n_radii: int, sectors: Column, least_pixels: int, least_share: float) -> DataFrame:
     """keys, radius, score, closure: sectors of each annulus first, then their mean, evenness and closure.
 
-    sectors: how many an annulus has, from column radius. Annuli with too few pixels or sectors score 0.
+    sectors: how many an annulus has, from column radius. Annuli with too few pixels or sectors score 0. A sector that
+    equals what a closed one must exceed isn't closed, whatever the last digit of its mean, which the order of a sum sets.
     """
     p = pixels.where(strength.isNotNull()).select(*keys, r.alias("_r"), theta.alias("_t"), strength.alias("_s"))
     p = p.withColumn("radius", F.floor(F.col("_r") / step + 0.5) * step).where(F.col("radius").between(step, n_radii * step))
@@ -30,7 +31,7 @@ def ring_scores(pixels: DataFrame, r: Column, theta: Column, strength: Column, k
     by_sector = by_sector.withColumn("mean", F.avg("m").over(w))
     rings = by_sector.groupBy(*keys, "radius", "sectors").agg(
         F.avg("m").alias("mean"), F.stddev_pop("m").alias("spread"), F.sum("n").alias("n"), F.count("*").alias("filled"),
-        F.avg((F.col("m") > F.greatest(F.lit(0.25), 0.5 * F.col("mean"))).cast("double")).alias("closed"),
+        F.avg((F.col("m") - F.greatest(F.lit(0.25), 0.5 * F.col("mean")) > 1e-9).cast("double")).alias("closed"),
     )
     usable = (F.col("n") >= least_pixels) & (F.col("filled") >= least_share * F.col("sectors"))
     even = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("spread") / F.greatest("mean", F.lit(1e-6))))

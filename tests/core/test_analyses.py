@@ -1,10 +1,12 @@
 """Connected cells, fills, folds and regrids against brute force."""
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tempestry.operators import graph, neighbours
+from tempestry.operators import graph, neighbours, profiles
 from tempestry.plans import analyses, catalogue, records
 
 
@@ -69,3 +71,12 @@ def test_clamped_fold_in_runs(spark):
 def test_ema_offset_splits_a_key(spark):
     plan = catalogue.queries()["ema_offset"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 3 and "RepartitionByExpression" in plan
+
+
+def test_sector_that_equals_the_threshold_is_open(spark):
+    """A mean of 0.25 may come out a hair above it, by the order in which its values are added."""
+    above = math.nextafter(0.25, 1)
+    rows = [(1, 10.0, -math.pi + (k + 0.5) * math.pi / 4, s) for k, s in enumerate([above, 0.25] * 4)]
+    p = spark.createDataFrame(rows, "frame_id long, r double, t double, s double")
+    got = profiles.ring_scores(p, F.col("r"), F.col("t"), F.col("s"), ["frame_id"], 10.0, 1, F.lit(8), 1, 0.5).first()
+    assert got.score == pytest.approx(0.25) and got.closure == 0
