@@ -52,10 +52,16 @@ def wvir_rings(t: Tables) -> DataFrame:
 SELECT a.frame_id, b.frame_id AS other_id, printf('difference %.1f->%.1f K, core %d->%d', a.d, b.d, a.core, b.core) || CASE WHEN b.core > 1.2 * a.core THEN '; core grew' ELSE '' END AS summary FROM m a JOIN m b ON b.frame_id = a.frame_id + 1""")
 def structure_compare(t: Tables) -> DataFrame:
     """Each frame against the next, in words."""
-    m = t.pixel.groupBy("frame_id").agg(F.round(F.avg(F.col("v37") - F.col("h37")), 3).alias("d"), F.count_if(F.col("v37") < 225).alias("core"))
+    return compared(t.pixel)
+
+
+def compared(pixels: DataFrame) -> DataFrame:
+    """frame_id, other_id, summary of frames whose next one is there; no summary where one of both has no difference."""
+    # the mean is rounded as DuckDB does it, as a whole number of thousandths
+    m = pixels.groupBy("frame_id").agg((F.round(F.avg(F.col("v37") - F.col("h37")) * 1000) / 1000).alias("d"), F.count_if(F.col("v37") < 225).alias("core"))
     b = m.select(F.col("frame_id").alias("other_id"), F.col("d").alias("d2"), F.col("core").alias("core2"), (F.col("frame_id") - 1).alias("frame_id"))
     x = m.join(b, "frame_id")
-    return x.select("frame_id", "other_id", F.concat(F.format_string("difference %.1f->%.1f K, core %d->%d", "d", "d2", "core", "core2"), F.when(F.col("core2") > 1.2 * F.col("core"), "; core grew").otherwise("")).alias("summary"))
+    return x.select("frame_id", "other_id", F.concat(F.lit("difference "), C.one_decimal(F.col("d")), F.lit("->"), C.one_decimal(F.col("d2")), F.format_string(" K, core %d->%d", "core", "core2"), F.when(F.col("core2") > 1.2 * F.col("core"), "; core grew").otherwise("")).alias("summary"))
 
 
 _EV, _DV, _EH, _DH = 62.0, 30.0, 110.0, 25.0

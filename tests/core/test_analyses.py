@@ -80,3 +80,11 @@ def test_sector_that_equals_the_threshold_is_open(spark):
     p = spark.createDataFrame(rows, "frame_id long, r double, t double, s double")
     got = profiles.ring_scores(p, F.col("r"), F.col("t"), F.col("s"), ["frame_id"], 10.0, 1, F.lit(8), 1, 0.5).first()
     assert got.score == pytest.approx(0.25) and got.closure == 0
+
+
+def test_differences_in_words_round_as_c_does(spark):
+    """2.15 is a little less in binary, 2.25 lies halfway and 2.35 is a little more; a frame without a channel has none."""
+    rows = [(f, 200.0 + d, 200.0) for f, d in enumerate((2.15, 2.25, 2.35, 2.75))] + [(4, None, 200.0), (5, 201.0, 200.0)]
+    p = spark.createDataFrame(rows, "frame_id long, v37 double, h37 double")
+    got = {r.frame_id: r.summary for r in analyses.compared(p).collect()}
+    assert got == {0: "difference 2.1->2.2 K, core 1->1", 1: "difference 2.2->2.4 K, core 1->1", 2: "difference 2.4->2.8 K, core 1->1", 3: None, 4: None}
