@@ -151,13 +151,24 @@ def station_nearest_in_range(t: Tables) -> DataFrame:
     return met.groupBy("fix_id").agg(F.min_by("station_id", F.struct("d", "station_id")).alias("station_id"), F.round(F.min("d"), 4).alias("miles"))
 
 
-@query("""SELECT a.pass_id, b.pass_id AS other_id FROM overpass a ASOF JOIN overpass b ON a.sensor = b.sensor AND b.scene_time <= a.scene_time - INTERVAL 1 MICROSECOND WHERE epoch_us(a.scene_time) - epoch_us(b.scene_time) <= 600000000""")
+@query("""WITH s AS (SELECT pass_id, sensor, scene_time FROM overpass)
+SELECT a.pass_id, b.pass_id AS other_id FROM s a JOIN s b ON a.sensor = b.sensor AND a.pass_id < b.pass_id AND abs(epoch_us(a.scene_time) - epoch_us(b.scene_time)) <= 600000000""")
 def same_scan_match(t: Tables) -> DataFrame:
-    """Each pass with the last one of its sensor before it, if that is of the same scan: ten minutes at most."""
-    passes = t.overpass.select("sensor", "pass_id", F.col("scene_time").cast("timestamp").alias("valid_time"))
-    just_before = passes.withColumn("valid_time", F.col("valid_time") - F.expr("interval 1 microsecond"))
-    found = asof.bracket(just_before, passes.withColumnRenamed("pass_id", "other_id"), ["sensor"], "valid_time", ["pass_id"], ["other_id"], 3600)
-    return found.where(F.unix_micros("t") + 1 - F.unix_micros("f0.t") <= 600_000_000).select("pass_id", F.col("f0.other_id").alias("other_id"))
+    """Pairs of the same sensor at most ten minutes apart."""
+    return scan_pairs(t.overpass)
+
+
+def scan_pairs(passes: DataFrame, apart_s: int = 600) -> DataFrame:
+    """pass_id, other_id of all passes of a sensor that are so many seconds apart at most, the smaller id first.
+
+    Passes meet those of their own bucket of that width and of the next one, so a task holds the passes of one bucket,
+    and each pair comes up once. The pairs grow with the square of the passes of a bucket, as the result does.
+    """
+    s = passes.select("pass_id", "sensor", F.unix_micros(F.col("scene_time").cast("timestamp")).alias("us")).withColumn("bucket", F.floor(F.col("us") / (apart_s * 1_000_000)))
+    other = s.select(F.col("pass_id").alias("id2"), "sensor", F.col("us").alias("us2"), F.col("bucket").alias("b2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"))).alias("bucket"))
+    once = (F.col("bucket") < F.col("b2")) | (F.col("pass_id") < F.col("id2"))
+    met = s.join(other, ["sensor", "bucket"]).where(once & (F.col("pass_id") != F.col("id2")) & (F.abs(F.col("us") - F.col("us2")) <= apart_s * 1_000_000))
+    return met.select(F.least("pass_id", "id2").alias("pass_id"), F.greatest("pass_id", "id2").alias("other_id"))
 
 
 @query(f"""SELECT fix_id, round({distance('lat', 'lon', '20.0', '179.5')}, 4) AS km, round(2 * 6371 * asin(sqrt(pow(sin(radians(20 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(20)) * pow(sin(radians(179.5 - lon) / 2), 2))), 4) AS great_circle_km,

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempestry.operators import asof, tables
-from tempestry.plans import observations, selection
+from tempestry.plans import observations, selection, tracks
 
 START = dt.datetime(2024, 6, 1)
 
@@ -81,3 +81,12 @@ def test_ranks_and_runs_within_groups(spark):
         assert cut.groupBy("g", "run").count().agg(F.max("count")).first()[0] <= run + 3
     with pytest.raises(ValueError):
         tables.in_runs(df, "g", "t", before=5, run=4)
+
+
+def test_all_pairs_of_a_scan(spark):
+    """Every pair within ten minutes to the microsecond counts, not the last pass alone; equal times too."""
+    at = [0, 0, 599_999_999, 600_000_000, 600_000_001, 1_150_000_000, 1_199_999_999, 2_000_000_000]
+    rows = [(i, s, START + dt.timedelta(microseconds=us)) for k, s in enumerate(("GMI", "SSMIS")) for i, us in zip(range(8 * k, 8 * k + 8), at if k else at[::-1], strict=True)] + [(99, None, START)]
+    df = spark.createDataFrame(rows, "pass_id long, sensor string, scene_time timestamp")
+    want = sorted((a, b) for a, s, x in rows for b, r, y in rows if s and s == r and a < b and abs(x - y) <= dt.timedelta(minutes=10))
+    assert sorted(tuple(r) for r in tracks.scan_pairs(df).collect()) == want and len(want) > 16
