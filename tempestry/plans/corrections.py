@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.operators import linear_fill, stencils
+from tempestry.operators import linear_fill, stencils, tiles
 from tempestry.operators.tables import kept, percentiles
 from tempestry.plans.registry import Tables, clip, query, wrap
 
@@ -80,11 +80,8 @@ SHAPE = (24, 24)
 def texture(pixels: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """frame_id, pr, pc, combined, scale, texture: the bands less their smooth parts, in units of the 95th percentile of
     its size in the frame, clipped; 0 everywhere in a frame without any structure."""
-    out = pixels.select(*stencils.CELL, *BANDS)
-    for band in BANDS:
-        smooth = stencils.gaussian(pixels, band, HIGH_PASS, HIGH_PASS, "mirror", shape).withColumnRenamed("smooth", f"s_{band}")
-        out = out.join(smooth, stencils.CELL)
-    combined = sum((w * (F.col(b) - F.col(f"s_{b}")) for b, w in BANDS.items()), F.lit(0.0))
+    out = tiles.gaussian(pixels, [*BANDS], HIGH_PASS, HIGH_PASS, "mirror", shape)
+    combined = sum((w * (F.col(b) - F.col(f"smooth_{b}")) for b, w in BANDS.items()), F.lit(0.0))
     out = kept(out.select(*stencils.CELL, F.round(combined, 9).alias("combined")), "texture")
     scale = percentiles(out.withColumn("size", F.abs("combined")), "frame_id", "size", 0.95, "scale")
     unit = F.when(F.col("scale") < 1e-6, 0.0).otherwise(C.clip(F.col("combined") / F.col("scale"), -TEXTURE_CLIP, TEXTURE_CLIP))
