@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.operators import stencils
-from tempestry.operators.tables import percentiles
+from tempestry.operators import stencils, tiles
+from tempestry.operators.tables import kept, percentiles
 from tempestry.plans.registry import Tables, query
 
 # Echo tops (dBZ, km from the storm, degrees of a bin), strong gates (dBZ) and the neighbours they need.
@@ -127,13 +128,12 @@ def median_despeckle(t: Tables) -> DataFrame:
 
 def despeckled(pixels: DataFrame, value: str, shape: tuple[int, int]) -> DataFrame:
     """frame_id, pr, pc, median, kept of the pixels that have a value; frames without any have no row."""
-    there = pixels.where(F.col(value).isNotNull()).select(*stencils.CELL, F.col(value).cast("double").alias("v"))
+    there = kept(pixels.where(F.col(value).isNotNull()).select(*stencils.CELL, F.col(value).cast("double").alias("v")), "observed")
     middle = percentiles(there, "frame_id", "v", 0.5, "middle")
-    grid = middle.select("frame_id", "middle", F.explode(F.sequence(F.lit(0), F.lit(shape[0] - 1))).alias("pr")).select("*", F.explode(F.sequence(F.lit(0), F.lit(shape[1] - 1))).alias("pc"))
-    filled = grid.join(there, stencils.CELL, "left").select(*stencils.CELL, F.coalesce("v", "middle").alias("v"))
-    steps = F.sequence(F.lit(-WINDOW), F.lit(WINDOW))
-    for axis, n in zip(("pr", "pc"), shape, strict=True):
-        seen = filled.withColumn("at", F.explode(stencils.images(F.col(axis), n, WINDOW, "repeat")))
-        filled = seen.withColumn("k", F.explode(steps)).withColumn(axis, F.col("at") + F.col("k")).where(F.col(axis).between(0, n - 1)).select(*stencils.CELL, "v")
-    found = filled.groupBy(*stencils.CELL).agg(F.expr("percentile(v, 0.5)").alias("median"))
-    return there.join(found, stencils.CELL).select(*stencils.CELL, "median", F.when(F.abs(F.col("v") - F.col("median")) <= SPECKLE_K, F.col("v")).alias("kept"))
+
+    def work(w: tiles.Window) -> dict[str, np.ndarray]:
+        v = w.field("v")
+        return {"v": v, "median": w.median(v, WINDOW, w.field("middle")[w.at][0])}
+
+    found = tiles.typed(tiles.apply(there.join(middle, "frame_id"), ["v", "middle"], tiles.SIDE, WINDOW, shape, work, ["v", "median"]), there)
+    return found.select(*stencils.CELL, "median", F.when(F.abs(F.col("v") - F.col("median")) <= SPECKLE_K, F.col("v")).alias("kept"))
