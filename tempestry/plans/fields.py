@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
-from tempestry.operators import stencils
+from tempestry.operators import stencils, tiles
 from tempestry.plans.corrections import gaussian_sql
 from tempestry.plans.pixels import _DX, _DY, BACKBONE
 from tempestry.plans.registry import Tables, clip, query
@@ -51,8 +51,8 @@ _PSF = tuple(km / _FWHM / step for km, step in zip(K.FOOTPRINT_KM["SSMIS"][37],
 @query(f"WITH {gaussian_sql('pixel', 'v37', _PSF, SHAPE, 'repeat', 'smoothed')} SELECT frame_id, pr, pc, CASE WHEN v37 IS NOT NULL THEN round(smooth, 4) END AS v37 FROM pixel JOIN smoothed USING (frame_id, pr, pc)")
 def sensor_psf(t: Tables) -> DataFrame:
     """A 37 GHz field as a coarse sensor sees it, its rim repeated; missing pixels stay missing and give no weight."""
-    seen = stencils.gaussian(t.pixel, "v37", *_PSF, "repeat", SHAPE)
-    return t.pixel.join(seen, stencils.CELL).select(*stencils.CELL, F.when(F.col("v37").isNotNull(), F.round("smooth", 4)).alias("v37"))
+    seen = tiles.gaussian(t.pixel, ["v37"], *_PSF, "repeat", SHAPE)
+    return seen.select(*stencils.CELL, F.when(F.col("v37").isNotNull(), F.round("smooth_v37", 4)).alias("v37"))
 
 
 _RESPONSE = clip("(270.0 - ir) / 80.0", 0, 1)
@@ -65,8 +65,8 @@ def frequency_response(t: Tables) -> DataFrame:
     """The convective response shaped for each frequency: broad and smooth at 37 GHz, concentrated at 89."""
     a = C.clip((270.0 - F.col("ir")) / 80.0, 0, 1)
     z = t.pixel.select(*stencils.CELL, F.pow(a, F.lit(K.RESPONSE_POWER[37])).alias("a"), F.pow(a, F.lit(K.RESPONSE_POWER[89])).alias("ice"))
-    both = z.join(stencils.gaussian(z, "a", *_LIQUID, "repeat", SHAPE), stencils.CELL)
-    return both.select(*stencils.CELL, F.round(C.clip(F.col("smooth"), 0, 1), 5).alias("response37"), F.round("ice", 5).alias("response89"))
+    both = tiles.gaussian(z, ["a"], *_LIQUID, "repeat", SHAPE, ["ice"])
+    return both.select(*stencils.CELL, F.round(C.clip(F.col("smooth_a"), 0, 1), 5).alias("response37"), F.round("ice", 5).alias("response89"))
 
 
 @query(f"""WITH m AS (SELECT frame_id, avg(v37) AS mean FROM pixel GROUP BY 1), z AS (SELECT p.frame_id, pr, pc, v37, coalesce(v37, mean) AS a FROM pixel p JOIN m ON p.frame_id = m.frame_id), {gaussian_sql('z', 'a', (2.0, 2.0), SHAPE, 'mirror', 'smoothed')}
@@ -75,8 +75,8 @@ def texture_amplitude(t: Tables) -> DataFrame:
     """Deviation of the fine structure of an observed field: what is left of it without its Gaussian of two pixels."""
     mean = t.pixel.groupBy("frame_id").agg(F.avg("v37").alias("mean"))
     z = t.pixel.join(mean, "frame_id").select(*stencils.CELL, "v37", F.coalesce("v37", "mean").alias("a"))
-    fine = F.when(F.col("v37").isNotNull(), F.col("a") - F.col("smooth"))
-    found = z.join(stencils.gaussian(z, "a", 2.0, 2.0, "mirror", SHAPE), stencils.CELL)
+    fine = F.when(F.col("v37").isNotNull(), F.col("a") - F.col("smooth_a"))
+    found = tiles.gaussian(z, ["a"], 2.0, 2.0, "mirror", SHAPE, ["v37"])
     return found.groupBy("frame_id").agg(F.round(F.stddev_pop(fine), 4).alias("amplitude"), F.count("v37").alias("n"))
 
 
