@@ -141,12 +141,19 @@ _MILES = "2 * 3958.8 * asin(sqrt(least(1, pow(sin(radians(s.lat - t.lat) / 2), 2
 SELECT fix_id, arg_min(station_id, (d, station_id)) AS station_id, round(min(d), 4) AS miles FROM m WHERE d <= 200 GROUP BY fix_id""")
 def station_nearest_in_range(t: Tables) -> DataFrame:
     """Nearest radar station within 200 miles, through cells of four degrees that both sides share."""
+    return stations_in_range(t.track, t.station)
+
+
+def stations_in_range(track: DataFrame, station: DataFrame) -> DataFrame:
+    """fix_id, station_id, miles of each fix with a station in range. Of stations at one place the smallest id stands for
+    all, since it wins at any distance: so a fix meets places, however many stations they have."""
+    station = station.groupBy("lat", "lon").agg(F.min("station_id").alias("station_id"))
     cell = 4.0  # degrees of latitude: 200 miles are 2.9
     span = 180 / 3.14159 * 2 * F.asin(F.least(F.lit(1.0), F.sin(F.lit(200 / K.EARTH_MI / 2)) / F.cos(F.radians(F.least(F.abs("lat") + 3, F.lit(89.0))))))
     rows = F.sequence(F.floor((F.col("lat") - 3) / cell), F.floor((F.col("lat") + 3) / cell))
     columns = F.transform(F.sequence(F.floor((F.col("lon") - span) / cell), F.floor((F.col("lon") + span) / cell)), lambda c: F.pmod(c, F.lit(int(360 / cell))))
-    fixes = t.track.select("fix_id", "lat", "lon", F.explode(rows).alias("row"), columns.alias("cs")).select("fix_id", "lat", "lon", "row", F.explode(F.array_distinct("cs")).alias("column"))
-    stations = t.station.select("station_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.floor(F.col("lat") / cell).alias("row"), F.pmod(F.floor(F.col("lon") / cell), F.lit(int(360 / cell))).alias("column"))
+    fixes = track.select("fix_id", "lat", "lon", F.explode(rows).alias("row"), columns.alias("cs")).select("fix_id", "lat", "lon", "row", F.explode(F.array_distinct("cs")).alias("column"))
+    stations = station.select("station_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.floor(F.col("lat") / cell).alias("row"), F.pmod(F.floor(F.col("lon") / cell), F.lit(int(360 / cell))).alias("column"))
     met = fixes.join(stations, ["row", "column"]).withColumn("d", C.haversine(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"), K.EARTH_MI)).where("d <= 200")
     return met.groupBy("fix_id").agg(F.min_by("station_id", F.struct("d", "station_id")).alias("station_id"), F.round(F.min("d"), 4).alias("miles"))
 

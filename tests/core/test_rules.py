@@ -90,3 +90,12 @@ def test_all_pairs_of_a_scan(spark):
     df = spark.createDataFrame(rows, "pass_id long, sensor string, scene_time timestamp")
     want = sorted((a, b) for a, s, x in rows for b, r, y in rows if s and s == r and a < b and abs(x - y) <= dt.timedelta(minutes=10))
     assert sorted(tuple(r) for r in tracks.scan_pairs(df).collect()) == want and len(want) > 16
+
+
+def test_stations_at_one_place_meet_a_fix_once(spark):
+    """Copies of a station at its place don't multiply the pairs; the smallest id of the nearest place is the answer."""
+    fixes = spark.createDataFrame([(1, 10.0, 179.9), (2, -40.0, 0.0)], "fix_id long, lat double, lon double")
+    stations = spark.createDataFrame([(i, 10.0, -179.9 if i % 2 else 179.0) for i in range(100, 0, -1)], "station_id long, lat double, lon double")
+    found = tracks.stations_in_range(fixes, stations)
+    assert [(r.fix_id, r.station_id) for r in found.collect()] == [(1, 1)]
+    assert "min(station_id" in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
