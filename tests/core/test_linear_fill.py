@@ -82,3 +82,13 @@ def test_one_large_hole_needs_larger_cells():
     assert linear_fill.interpolated(points, values, np.array([9, 9]), 4) is None
     assert linear_fill.interpolated(points, values, np.array([9, 9]), 40) == pytest.approx(2 * 9 - 9 + 5)
     assert linear_fill.interpolated(points[:0], values[:0], np.array([9, 9]), 40) is None
+
+
+def test_a_hole_is_filled_from_what_is_near_first(monkeypatch):
+    """In a wide cell a small hole asks the points around it only, with the same result as all of them give."""
+    rng = np.random.default_rng(3)
+    points = np.array([(r, c) for r in range(40) for c in range(40) if (r, c) != (20, 20)])
+    values, seen, full = rng.normal(size=len(points)), [], linear_fill.interpolated
+    want = full(points, values, np.array([20, 20]), 16)
+    monkeypatch.setattr(linear_fill, "interpolated", lambda p, *a: seen.append(len(p)) or full(p, *a))
+    assert linear_fill._nearby(points, values, np.array([20, 20]), 16) == pytest.approx(want) and seen == [80]
