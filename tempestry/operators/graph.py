@@ -10,16 +10,20 @@ from tempestry.operators.tables import kept
 
 
 def label(cells: DataFrame) -> DataFrame:
-    """frame_id, pr, pc, label of cells that touch by an edge; the label is the smallest 100000 pr + pc of the group."""
+    """frame_id, pr, pc, label of cells that touch by an edge; the label is the smallest 100000 pr + pc of the group.
+
+    A kept table of millions of cells may be a few MB of file, by which Spark would send it whole through the driver to
+    all executors; the hints have it shuffled.
+    """
     own = F.col("pr") * 100_000 + F.col("pc")
     labels = kept(cells.select(*CELL, own.alias("label")))
     moves = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)))))
     while True:
         sent = labels.select("*", moves.alias("m")).select("frame_id", (F.col("pr") + F.col("m.i")).alias("pr"), (F.col("pc") + F.col("m.j")).alias("pc"), F.col("label").alias("seen"))
-        near = labels.join(sent, CELL).groupBy(*CELL, "label").agg(F.min("seen").alias("seen"))
+        near = labels.join(sent.hint("merge"), CELL).groupBy(*CELL, "label").agg(F.min("seen").alias("seen"))
         # what a label's cells saw is the label's own next name
         renamed = near.groupBy("frame_id", "label").agg(F.min("seen").alias("next"))
-        new = kept(near.join(renamed, ["frame_id", "label"]).select(*CELL, F.col("label").alias("old"), F.col("next").alias("label")))
+        new = kept(near.join(renamed.hint("merge"), ["frame_id", "label"]).select(*CELL, F.col("label").alias("old"), F.col("next").alias("label")))
         labels = new.select(*CELL, "label")
         if new.where("old != label").isEmpty():
             return labels

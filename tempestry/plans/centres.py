@@ -22,7 +22,7 @@ def _pixel_km2(pixels: DataFrame) -> DataFrame:
     for axis, value in (("pr", "lat"), ("pc", "lon")):
         before = pixels.select(*(F.col(c) + 1 if c == axis else F.col(c) for c in stencils.CELL), F.col(value).alias("last"))
         before = before.toDF(*stencils.CELL, "last")
-        steps = pixels.join(before, stencils.CELL).select("frame_id", C.lon_delta(F.col("last"), F.col(value)).alias("step"))
+        steps = pixels.join(before.hint("merge"), stencils.CELL).select("frame_id", C.lon_delta(F.col("last"), F.col(value)).alias("step"))
         out = out.join(percentiles(steps, "frame_id", "step", 0.5, f"d_{value}"), "frame_id")
     km = lambda c: F.abs(c) * K.KM_DEG_DISTANCE
     return out.select("frame_id", F.greatest(km("d_lat") * km("d_lon") * F.cos(F.radians("lat0")), F.lit(1e-6)).alias("km2"))
@@ -31,7 +31,7 @@ def _pixel_km2(pixels: DataFrame) -> DataFrame:
 def _main_cloud(pixels: DataFrame, search_km: float) -> DataFrame:
     """The cold pixels of each frame's component that has most of them near the prior centre; the first of equals."""
     cold = pixels.where(F.col("ir") < COLD_K)
-    x = kept(cold.join(graph.label(cold.select(*stencils.CELL)), stencils.CELL), "cold")
+    x = kept(cold.join(graph.label(cold.select(*stencils.CELL)).hint("merge"), stencils.CELL), "cold")
     near = x.groupBy("frame_id", "label").agg(F.count_if(F.col("r") <= search_km).alias("near")).where("near > 0")
     best = near.groupBy("frame_id").agg(F.max_by("label", F.struct("near", -F.col("label"))).alias("label"))
     return kept(x.join(best, ["frame_id", "label"]).drop("label"), "cloud")
@@ -46,11 +46,11 @@ def _holes(cloud: DataFrame) -> DataFrame:
     box = cloud.groupBy("frame_id").agg(*((f(c) + d).alias(f"{c}{d}") for c in ("pr", "pc") for f, d in ((F.min, -1), (F.max, 1))))
     rows = box.select("*", F.explode(F.sequence("pr-1", "pr1")).alias("pr")).repartition("frame_id", "pr")
     cells = rows.select("*", F.explode(F.sequence("pc-1", "pc1")).alias("pc"))
-    rest = cells.join(cloud.select(*stencils.CELL), stencils.CELL, "left_anti")
+    rest = cells.join(cloud.select(*stencils.CELL).hint("merge"), stencils.CELL, "left_anti")
     labels = graph.label(rest.select(*stencils.CELL))
     outside = F.bool_or((F.col("pr") == F.col("pr-1")) & (F.col("pc") == F.col("pc-1")))
     inner = labels.join(box, "frame_id").groupBy("frame_id", "label").agg(outside.alias("outside")).where("not outside")
-    return kept(labels.join(inner.select("frame_id", "label"), ["frame_id", "label"]), "holes")
+    return kept(labels.join(inner.select("frame_id", "label").hint("merge"), ["frame_id", "label"]), "holes")
 
 
 def _at(found: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def fixes(pixels: DataFrame, lat: float, lon: float, search_km: float = SEARCH_K
     """
     p = pixels.withColumn("r", C.distance_km(F.col("lat"), F.col("lon"), lat, lon))
     cloud = _main_cloud(p, search_km)
-    holes = _holes(cloud).join(p.select(*stencils.CELL, "ir"), stencils.CELL, "left")
+    holes = _holes(cloud).join(p.select(*stencils.CELL, "ir").hint("merge"), stencils.CELL, "left")
     shape = holes.groupBy("frame_id", "label").agg(
         F.count("*").alias("n"), F.count("ir").alias("seen"), F.avg("ir").alias("warm"), F.avg("pr").alias("cy"), F.avg("pc").alias("cx"), F.greatest(F.max("pr") - F.min("pr"), F.max("pc") - F.min("pc")).alias("across")
     ).where("n = seen")
@@ -79,7 +79,7 @@ def fixes(pixels: DataFrame, lat: float, lon: float, search_km: float = SEARCH_K
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-RING, RING + 1) for j in range(-RING, RING + 1) if abs(i) + abs(j) <= RING))
     ring = holes.join(near.select("frame_id", "label"), ["frame_id", "label"]).select("frame_id", "label", "pr", "pc", F.explode(around).alias("o"))
     ring = ring.select("frame_id", "label", (F.col("pr") + F.col("o.i")).alias("pr"), (F.col("pc") + F.col("o.j")).alias("pc")).distinct()
-    edge = ring.join(cloud.select(*stencils.CELL, "ir"), stencils.CELL).groupBy("frame_id", "label").agg(F.avg("ir").alias("cool"))
+    edge = ring.join(cloud.select(*stencils.CELL, "ir").hint("merge"), stencils.CELL).groupBy("frame_id", "label").agg(F.avg("ir").alias("cool"))
     eyes = near.join(edge, ["frame_id", "label"]).withColumn("contrast", F.col("warm") - F.col("cool")).where(F.col("contrast") >= CONTRAST_K)
     round_ = C.clip(2 * F.sqrt(F.col("n") / F.pi()) / F.greatest(F.col("across") + 1, F.lit(1)), 0, 1)
     close, strong = 1 - F.least(F.col("dist") / search_km, F.lit(1.0)), F.col("contrast") / 20.0

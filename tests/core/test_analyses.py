@@ -88,3 +88,11 @@ def test_differences_in_words_round_as_c_does(spark):
     p = spark.createDataFrame(rows, "frame_id long, v37 double, h37 double")
     got = {r.frame_id: r.summary for r in analyses.compared(p).collect()}
     assert got == {0: "difference 2.1->2.2 K, core 1->1", 1: "difference 2.2->2.4 K, core 1->1", 2: "difference 2.4->2.8 K, core 1->1", 3: None, 4: None}
+
+
+def test_small_files_of_many_cells_are_not_broadcast(spark, monkeypatch):
+    """A kept table is small as a file and large in memory; no round of labels sends one through the driver."""
+    plans, write = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    graph.label(spark.createDataFrame([(1, 0, c) for c in range(3)], "frame_id long, pr int, pc int"))
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
