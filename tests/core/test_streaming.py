@@ -4,9 +4,11 @@ import datetime as dt
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tempestry.plans import stages
-from tempestry.streaming import flows
+from tempestry.streaming import flows, history
 
 START = dt.datetime(2024, 1, 1)
 
@@ -102,3 +104,65 @@ def test_history_as_a_stream_with_a_restart_and_late_frames(spark, tmp_path):
     out += run(spark, flow(), tmp_path)
     got = sorted((r.storm_id, r.frame_id, r.stage, r.confidence, r.evidence) for r in out)
     assert got == in_batch(spark, [s for s in SCENES if s is not SCENES[1]])
+
+
+class Store:
+    """State of one key in memory, with its timers; counts the rows read from the map."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.read = {}, None, set(), 0
+
+    getMapState = getValueState = lambda self, *_: self
+    registerTimer = lambda self, t: self.timers.add(t)
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.rows[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        del self.rows[k]
+
+    def iterator(self):
+        for item in list(self.rows.items()):
+            self.read += 1
+            yield item
+
+    def clear(self):
+        if self.rows:
+            self.rows = {}
+        else:
+            self.value = None
+
+
+def test_a_backlog_is_read_once_not_once_for_each_of_its_rows():
+    n, hour = 300, 3_600_000
+    values = StructType([StructField("v", LongType())])
+    store, processor = Store(), history.PreviousRow("storm_id", "frame_id", values, 12 * hour)
+    processor.init(store)
+    rows = [{"storm_id": 1, "frame_id": i, "t": (i + 1) * hour, "v": i, "own": True} for i in range(n)]
+    list(processor.handleInputRows((1, 0), iter(rows), TimerValues(0, 0)))
+    watermark, out = (n + 1) * hour, []
+    for t in sorted(store.timers):
+        out += processor.handleExpiredTimer((1, 0), TimerValues(0, watermark), ExpiredTimerInfo(t))
+    assert [(r.frame_id, r.prev_v) for r in out] == [(0, None), *((i, i - 1) for i in range(1, n))]
+    assert store.read <= 2 * n
+
+
+def test_history_over_the_ends_of_its_spans(spark, tmp_path):
+    """A storm of many days, its frames 3 to 13 hours apart and mixed over two batches, gives what lag gives."""
+    hours, at = [], 0
+    for i in range(150):
+        hours.append(at)
+        at += (3, 11, 12, 5, 13)[i % 5]
+    rows = [scene(1, h, 60 + h % 97, [(30.0 + h % 7, 2.0)]) for h in hours]
+    schema = scene_frame(spark, rows).schema
+    seen = []
+    for name, part in (("a", rows[:80][::-1]), ("b", [*rows[80:], scene(2, at + 10, 100)])):
+        scene_frame(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        flow = stages.staged(stages.stages(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")))
+        seen += [(r.storm_id, r.frame_id, r.stage, r.confidence, r.evidence) for r in run(spark, flow, tmp_path)]
+    assert sorted(seen) == in_batch(spark, rows)
