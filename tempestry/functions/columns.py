@@ -188,11 +188,19 @@ def tilted_radius(rmw: Column) -> Column:
     return rmw + F.least(F.lit(10.0), 0.35 * rmw)
 
 
-def radial_weight(r: Column, rmw: Column, vmax: Column, roci: Column) -> Column:
-    """Ring about the tilted eyewall, exponential envelope and a suppressed eye."""
-    width = clip(interpolate(vmax, K.RING_WIDTH) * rmw, 8, 60)
+def ring_width(rmw: Column, vmax: Column) -> Column:
+    return clip(interpolate(vmax, K.RING_WIDTH) * rmw, 8, 60)
+
+
+def envelope_km(vmax: Column, roci: Column) -> Column:
+    return F.coalesce(clip(0.55 * roci, 80, 600), interpolate(vmax, K.ENVELOPE_KM))
+
+
+def radial_weight(r: Column, rmw: Column, vmax: Column, roci: Column, width: Column | None = None, scale: Column | None = None) -> Column:
+    """Ring about the tilted eyewall, exponential envelope and a suppressed eye; width and scale where they are known already."""
+    width = ring_width(rmw, vmax) if width is None else width
+    scale = envelope_km(vmax, roci) if scale is None else scale
     ring = F.exp(-0.5 * F.pow((r - tilted_radius(rmw)) / width, 2))
-    scale = F.coalesce(clip(0.55 * roci, 80, 600), interpolate(vmax, K.ENVELOPE_KM))
     eye = 1 - ramp(vmax, 50, 130) * F.exp(-0.5 * F.pow(r / (0.35 * rmw + 1e-6), 2))
     return clip((0.55 * ring + 0.65 * F.exp(-r / scale)) / 1.20 * eye, 0, 1)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tempestry.functions import columns as C
 from tempestry.functions import constants as K
 from tempestry.operators import stencils, tiles
-from tempestry.operators.tables import kept, percentiles
+from tempestry.operators.tables import kept, once, percentiles
 from tempestry.plans.corrections import BANDS, HIGH_PASS, TEXTURE_CLIP, gaussian_sql
 from tempestry.plans.fields import SHAPE, _FWHM, COL_KM, ROW_KM
 from tempestry.plans.frames import _AGE
@@ -29,9 +29,8 @@ CHANNELS = ("v37", "v89")
 TEXTURE_K, BLUR, W_BACK, W_SEEN, BIAS_K = {"v37": 4.0, "v89": 7.0}, 1.2, 0.1, 0.3, 5.0
 #: Where the pass's pixels lie beside the frame's (degrees), how far one may be taken from, and a pixel's side.
 SHIFT, FAR, STEP = (0.03, 0.04), 0.25, 0.1
-#: Footprint (pixels) of the sensor by channel, side of a tile.
+#: Footprint (pixels) of the sensor by channel.
 FOOTPRINT = {c: tuple(km / _FWHM / step for km, step in zip(K.FOOTPRINT_KM["SSMIS"][int(c[1:])], (ROW_KM, COL_KM), strict=True)) for c in CHANNELS}
-SIDE = 24
 
 
 def _offsets() -> list[tuple[int, int]]:
@@ -72,14 +71,18 @@ def inputs(pixels: DataFrame) -> DataFrame:
     """frame_id, pr, pc, bands, age and, by channel, the observation within bounds (o), its frame's median (med) and the
     backbone (b), for pixels of storm()."""
     r, rmw, vmax = F.col("r"), F.col("rmw"), F.col("vmax")
-    p = pixels.withColumn("resp", C.scattering(F.col("ir")) * C.radial_weight(r, rmw, vmax, F.col("roci")))
+    # step by step: as one expression it makes a method that the JVM doesn't compile
+    p = pixels.select("*", once(F.struct(C.ring_width(rmw, vmax).alias("width"), C.envelope_km(vmax, F.col("roci")).alias("scale"))).alias("ring"))
+    p = p.select("*", once(C.scattering(F.col("ir")) * C.radial_weight(r, rmw, vmax, F.col("roci"), F.col("ring.width"), F.col("ring.scale"))).alias("resp"))
+    p = p.select("*", once(C.saturate(F.col("resp"))).alias("sat"))
     out = []
     for c in CHANNELS:
         bg, e, d, warm = BACKBONE[c]
-        sat, scat = C.saturate(F.col("resp")), C.scattering(F.col("ir"), warm)
-        ice = C.ice_depth(F.col("lat")) if c.endswith("89") else F.lit(1.0)
         dg = 1 + C.gain("dep", c, vmax) + C.gain("out", c, vmax) * C.ramp(r / rmw, 1.5, 2.5) + C.gain("far", c, vmax) * C.ramp(r / rmw, 3.5, 5.0)
-        out.append(F.round(bg + e * (1 + C.gain("em", c, vmax)) * sat * (1 - scat) - d * dg * sat * scat * ice, 5).alias(f"b_{c}"))
+        p = p.select("*", once(F.struct(C.gain("em", c, vmax).alias("em"), C.scattering(F.col("ir"), warm).alias("scat"))).alias(f"t_{c}")).select("*", once(dg).alias(f"dg_{c}"))
+        ice = C.ice_depth(F.col("lat")) if c.endswith("89") else F.lit(1.0)
+        em, scat, sat = F.col(f"t_{c}.em"), F.col(f"t_{c}.scat"), F.col("sat")
+        out.append(F.round(bg + e * (1 + em) * sat * (1 - scat) - d * F.col(f"dg_{c}") * sat * scat * ice, 5).alias(f"b_{c}"))
         out.append(F.when(F.col(c).between(*K.BOUNDS[c]), F.col(c)).alias(f"o_{c}"))
     p = kept(p.select(*stencils.CELL, *BANDS, *out), "inputs")
     for c in CHANNELS:
@@ -91,7 +94,7 @@ def whole(pixels: DataFrame) -> DataFrame:
     """frame_id, pr, pc and the channels of each frame, for pixels of storm(). A frame without an observation keeps the
     backbone with its texture; a pixel without one is blended from the backbone alone."""
     names = [*BANDS, *(f"{x}_{c}" for c in CHANNELS for x in ("o", "med", "b"))]
-    first = kept(tiles.apply(inputs(pixels), names, SIDE, HALO, SHAPE, seen_and_smooth, ["fine", *(f"{x}_{c}" for c in CHANNELS for x in ("s", "g"))]), "first")
+    first = kept(tiles.apply(inputs(pixels), names, tiles.SIDE, HALO, SHAPE, seen_and_smooth, ["fine", *(f"{x}_{c}" for c in CHANNELS for x in ("s", "g"))]), "first")
     first = first.withColumn("fine", F.round("fine", 9))
     scale = percentiles(first.withColumn("size", F.abs("fine")), "frame_id", "size", 0.95, "scale")
     p = first.join(scale, "frame_id", "left").withColumn("texture", F.when(F.coalesce("scale", F.lit(0.0)) < 1e-6, 0.0).otherwise(C.clip(F.col("fine") / F.col("scale"), -TEXTURE_CLIP, TEXTURE_CLIP)))
@@ -103,7 +106,7 @@ def whole(pixels: DataFrame) -> DataFrame:
     bias = p.groupBy("frame_id").agg(*(C.clip(F.coalesce(F.avg(F.col(f"u_{c}") - F.col(f"s_{c}")), F.lit(0.0)), -BIAS_K, BIAS_K).alias(f"bias_{c}") for c in CHANNELS))
     p = p.join(bias, "frame_id").select(*stencils.CELL, *((F.col(f"u_{c}") - F.col(f"bias_{c}")).alias(f"u_{c}") for c in CHANNELS))
     halo = max(tiles.reach_of(s) for c in CHANNELS for s in FOOTPRINT[c])
-    out = tiles.apply(p, [f"u_{c}" for c in CHANNELS], SIDE, halo, SHAPE, through_footprint, [f"p_{c}" for c in CHANNELS])
+    out = tiles.apply(p, [f"u_{c}" for c in CHANNELS], tiles.SIDE, halo, SHAPE, through_footprint, [f"p_{c}" for c in CHANNELS])
     return out.select(*stencils.CELL, *(C.clip(F.col(f"p_{c}"), *K.BOUNDS[c]).alias(c) for c in CHANNELS))
 
 
