@@ -106,7 +106,8 @@ _BIN = "CASE " + " ".join(f"WHEN h89 >= {a} AND h89 < {b} THEN {a}" for a, b in
 @query(f"SELECT {_BIN} AS h89_from, count(*) AS n, round(quantile_cont(h37, 0.5), 4) AS median, round(quantile_cont(h37, 0.25), 4) AS p25, round(quantile_cont(h37, 0.75), 4) AS p75 FROM pixel WHERE h89 >= {ICE_BINS[0]} AND h89 < {ICE_BINS[-1]} AND h37 IS NOT NULL GROUP BY 1")
 def ice_coupling(t: Tables) -> DataFrame:
     """37 GHz quartiles by the seven bins of 89 GHz, from all pixels."""
-    p = t.pixel.where(f"h89 >= {ICE_BINS[0]} and h89 < {ICE_BINS[-1]} and h37 is not null").select(F.expr(_BIN).alias("h89_from"), "h37")
+    # written once: the percentiles' rounds read it again and again
+    p = kept(t.pixel.where(f"h89 >= {ICE_BINS[0]} and h89 < {ICE_BINS[-1]} and h37 is not null").select(F.expr(_BIN).alias("h89_from"), "h37"), "coupling")
     out = p.groupBy("h89_from").agg(F.count("*").alias("n"))
     for share, name in ((0.5, "median"), (0.25, "p25"), (0.75, "p75")):
         out = out.join(percentiles(p, "h89_from", "h37", share, name), "h89_from")

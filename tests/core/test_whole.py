@@ -3,7 +3,7 @@
 import pytest
 
 from tempestry.operators import tiles
-from tempestry.plans import fields, whole
+from tempestry.plans import catalogue, fields, observations, whole
 from tempestry.plans.pixels import storm
 from tempestry.plans.views import view
 
@@ -44,3 +44,11 @@ def test_a_frame_of_this_size_is_one_tile(spark, monkeypatch):
     with pytest.raises(Stop):
         whole.whole(storm(view(spark, "/root/testdata/sf0.001", "pixel")))
     assert asked[2] >= max(fields.SHAPE)
+
+
+def test_ice_coupling_makes_its_pixels_once(spark, monkeypatch):
+    """The percentiles' rounds read a table of them, not the view again and again."""
+    asked = stopped_at(monkeypatch, observations, "percentiles")
+    with pytest.raises(Stop):
+        catalogue.queries()["ice_coupling"](spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in asked[0]._jdf.queryExecution().optimizedPlan().toString()
