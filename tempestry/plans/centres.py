@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions import columns as C
@@ -19,10 +19,10 @@ COLD_K, SEARCH_KM, LEAST_EYE_KM2, MOST_EYE_KM2, CONTRAST_K, RING, CORE_SHARE, NO
 def _pixel_km2(pixels: DataFrame) -> DataFrame:
     """frame_id, km2: medians of the steps between neighbours, at the frame's mean latitude."""
     out = pixels.groupBy("frame_id").agg(F.avg("lat").alias("lat0"))
-    for axis, value in (("pr", "lat"), ("pc", "lon")):
-        before = pixels.select(*(F.col(c) + 1 if c == axis else F.col(c) for c in stencils.CELL), F.col(value).alias("last"))
-        before = before.toDF(*stencils.CELL, "last")
-        steps = pixels.join(before.hint("merge"), stencils.CELL).select("frame_id", C.lon_delta(F.col("last"), F.col(value)).alias("step"))
+    for axis, across, value in (("pr", "pc", "lat"), ("pc", "pr", "lon")):
+        line = Window.partitionBy("frame_id", across).orderBy(axis)
+        last = F.when(F.lag(axis).over(line) == F.col(axis) - 1, F.lag(value).over(line))
+        steps = kept(pixels.select("frame_id", C.lon_delta(last, F.col(value)).alias("step")).where("step is not null"))
         out = out.join(percentiles(steps, "frame_id", "step", 0.5, f"d_{value}"), "frame_id")
     km = lambda c: F.abs(c) * K.KM_DEG_DISTANCE
     return out.select("frame_id", F.greatest(km("d_lat") * km("d_lon") * F.cos(F.radians("lat0")), F.lit(1e-6)).alias("km2"))
@@ -30,27 +30,26 @@ def _pixel_km2(pixels: DataFrame) -> DataFrame:
 
 def _main_cloud(pixels: DataFrame, search_km: float) -> DataFrame:
     """The cold pixels of each frame's component that has most of them near the prior centre; the first of equals."""
-    cold = pixels.where(F.col("ir") < COLD_K)
-    x = kept(cold.join(graph.label(cold.select(*stencils.CELL)).hint("merge"), stencils.CELL), "cold")
+    x = graph.label(pixels.where(F.col("ir") < COLD_K).select(*stencils.CELL, "ir", "r"))
     near = x.groupBy("frame_id", "label").agg(F.count_if(F.col("r") <= search_km).alias("near")).where("near > 0")
     best = near.groupBy("frame_id").agg(F.max_by("label", F.struct("near", -F.col("label"))).alias("label"))
     return kept(x.join(best, ["frame_id", "label"]).drop("label"), "cloud")
 
 
-def _holes(cloud: DataFrame) -> DataFrame:
-    """frame_id, pr, pc, label of the cells that a cloud encloses.
+def _holes(cloud: DataFrame, pixels: DataFrame) -> DataFrame:
+    """frame_id, pr, pc, label, ir of the cells that a cloud encloses; ir is NULL where there is no pixel.
 
     The cells of its bounding box and of one more around it that aren't cloud fall into components; the one that holds
-    the outermost cells is the outside, all others are holes.
+    the box's first cell is the outside, all others are holes.
     """
     box = cloud.groupBy("frame_id").agg(*((f(c) + d).alias(f"{c}{d}") for c in ("pr", "pc") for f, d in ((F.min, -1), (F.max, 1))))
+    box = box.withColumn("outside", (100_000 * F.col("pr-1") + F.col("pc-1")).cast("long"))
     rows = box.select("*", F.explode(F.sequence("pr-1", "pr1")).alias("pr")).repartition("frame_id", "pr")
-    cells = rows.select("*", F.explode(F.sequence("pc-1", "pc1")).alias("pc"))
-    rest = cells.join(cloud.select(*stencils.CELL).hint("merge"), stencils.CELL, "left_anti")
-    labels = graph.label(rest.select(*stencils.CELL))
-    outside = F.bool_or((F.col("pr") == F.col("pr-1")) & (F.col("pc") == F.col("pc-1")))
-    inner = labels.join(box, "frame_id").groupBy("frame_id", "label").agg(outside.alias("outside")).where("not outside")
-    return kept(labels.join(inner.select("frame_id", "label").hint("merge"), ["frame_id", "label"]), "holes")
+    cells = rows.select("frame_id", "pr", F.explode(F.sequence("pc-1", "pc1")).alias("pc"), "outside")
+    # met by one grouping: cells of the box, pixels, and the cloud's among them
+    met = cells.unionByName(pixels.select(*stencils.CELL, "ir"), True).unionByName(cloud.select(*stencils.CELL, F.lit(True).alias("cloud")), True)
+    met = met.groupBy(*stencils.CELL).agg(F.max("outside").alias("outside"), F.max("ir").alias("ir"), F.max("cloud").alias("cloud"))
+    return graph.label(met.where("outside is not null and cloud is null").drop("cloud")).where("label != outside").drop("outside")
 
 
 def _at(found: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -67,9 +66,10 @@ def fixes(pixels: DataFrame, lat: float, lon: float, search_km: float = SEARCH_K
     cloud within three pixels around it; of several the best by contrast, roundness and nearness. Without one, the middle
     of the cloud's coldest fifth is the fix, with little confidence; a frame whose cloud has no colder part has none.
     """
-    p = pixels.withColumn("r", C.distance_km(F.col("lat"), F.col("lon"), lat, lon))
+    # written once: all steps read it
+    p = kept(pixels.withColumn("r", C.distance_km(F.col("lat"), F.col("lon"), lat, lon)), "pixels")
     cloud = _main_cloud(p, search_km)
-    holes = _holes(cloud).join(p.select(*stencils.CELL, "ir").hint("merge"), stencils.CELL, "left")
+    holes = _holes(cloud, p)
     shape = holes.groupBy("frame_id", "label").agg(
         F.count("*").alias("n"), F.count("ir").alias("seen"), F.avg("ir").alias("warm"), F.avg("pr").alias("cy"), F.avg("pc").alias("cx"), F.greatest(F.max("pr") - F.min("pr"), F.max("pc") - F.min("pc")).alias("across")
     ).where("n = seen")

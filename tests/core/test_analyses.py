@@ -34,6 +34,42 @@ def test_labels(spark):
         assert {found[x] for x in group} == {min(r * 100_000 + c for _, r, c in group)}
 
 
+def spiral(n):
+    """Cells of a path of one cell's width that winds inwards over n x n cells, with one cell between its turns."""
+    path, at, way, free = [(0, 0)], (0, 0), (0, 1), lambda x: all(0 <= k < n for k in x)
+    seen = set(path)
+    while True:
+        for _ in range(2):
+            one, two = ((at[0] + k * way[0], at[1] + k * way[1]) for k in (1, 2))
+            if free(one) and two not in seen:
+                break
+            way = (way[1], -way[0])
+        else:
+            return path
+        at = one
+        seen.add(at)
+        path.append(at)
+
+
+@pytest.mark.parametrize("side", [4, 64])
+def test_labels_in_tiles(spark, side, monkeypatch):
+    """Groups that wind through many tiles, or through one: few rounds, and other columns stay as they are."""
+    writes, write = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, *a: writes.append(a) or write(df, *a))
+    rng = random.Random(7)
+    turns = spiral(25)
+    assert len(turns) > 300
+    cells = {(1, r - 1, c - 1) for r, c in turns} | {(2, rng.randrange(-1, 25), rng.randrange(-1, 25)) for _ in range(600)} | {(3, 7, c) for c in range(60)}
+    rows = [(*x, None if i % 3 else i, f"{x[1]}") for i, x in enumerate(sorted(cells))]
+    df = spark.createDataFrame(rows, "frame_id int, pr int, pc int, n int, t string")
+    found = graph.label(df, side).collect()
+    assert sorted(tuple(r)[:5] for r in found) == sorted(rows, key=lambda x: x[:3])
+    labels = {tuple(r)[:3]: r.label for r in found}
+    for group in flood(cells):
+        assert {labels[x] for x in group} == {min(r * 100_000 + c for _, r, c in group)}
+    assert len(writes) == 2 if side == 64 else len(writes) <= 12
+
+
 def test_missing_pixels_are_filled_at_any_distance(spark):
     rng = random.Random(9)
     cells = [(f, r, c, float(rng.randrange(100)) if (f < 2 and rng.random() < (0.3, 0.004)[f]) or (f, r, c) == (1, 39, 39) else None) for f in range(3) for r in range(40) for c in range(40)]

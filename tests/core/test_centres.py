@@ -119,3 +119,18 @@ def test_equals_brute_force(spark):
     assert centres.fixes(df.limit(0), LAT, LON, 150.0).count() == 0
     texts = {r.frame_id: r.summary for r in centres.described(centres.fixes(df.where("frame_id < 2"), LAT, LON, 150.0)).collect()}
     assert texts[0].startswith("eye ") and texts[1].startswith("no eye; coldest cloud ")
+
+
+def test_pixels_are_made_once(spark):
+    """However many steps read the pixels, what they are made from is read once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = [(f, r, c, *place(r, c), v) for f, ir in enumerate(frames()[:2]) for (r, c), v in ir.items()]
+    df = spark.createDataFrame(rows, "frame_id int, pr int, pc int, lat double, lon double, ir double")
+    assert centres.fixes(df.mapInPandas(counted, df.schema), LAT, LON, 150.0).count() == 2
+    assert made.value == len(rows)
