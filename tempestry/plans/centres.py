@@ -53,9 +53,12 @@ def _holes(cloud: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def _at(found: DataFrame, pixels: DataFrame) -> DataFrame:
-    """found (frame_id, cy, cx) with lat and lon of the pixel at that place, halves to even; gone where none is."""
+    """found (frame_id, cy, cx) with lat and lon of the pixel at that place, halves to even; gone where none is.
+
+    The places found are hashed in shuffled parts: pixels are a small file at first, and large in memory."""
     places = pixels.select(F.col("frame_id"), F.col("pr").cast("long").alias("y"), F.col("pc").cast("long").alias("x"), "lat", "lon")
-    return found.withColumn("y", F.rint("cy").cast("long")).withColumn("x", F.rint("cx").cast("long")).join(places, ["frame_id", "y", "x"]).drop("y", "x")
+    found = found.withColumn("y", F.rint("cy").cast("long")).withColumn("x", F.rint("cx").cast("long"))
+    return found.hint("shuffle_hash").join(places, ["frame_id", "y", "x"]).drop("y", "x")
 
 
 def fixes(pixels: DataFrame, lat: float, lon: float, search_km: float = SEARCH_KM) -> DataFrame:
@@ -74,7 +77,7 @@ def fixes(pixels: DataFrame, lat: float, lon: float, search_km: float = SEARCH_K
         F.count("*").alias("n"), F.count("ir").alias("seen"), F.avg("ir").alias("warm"), F.avg("pr").alias("cy"), F.avg("pc").alias("cx"), F.greatest(F.max("pr") - F.min("pr"), F.max("pc") - F.min("pc")).alias("across")
     ).where("n = seen")
     sized = shape.join(_pixel_km2(p), "frame_id").withColumn("area", F.col("n") * F.col("km2")).where(F.col("area").between(LEAST_EYE_KM2, MOST_EYE_KM2))
-    near = _at(sized, p).withColumn("dist", C.distance_km(F.col("lat"), F.col("lon"), lat, lon)).where(F.col("dist") <= search_km)
+    near = kept(_at(sized, p).withColumn("dist", C.distance_km(F.col("lat"), F.col("lon"), lat, lon)).where(F.col("dist") <= search_km), "near")
 
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-RING, RING + 1) for j in range(-RING, RING + 1) if abs(i) + abs(j) <= RING))
     ring = holes.join(near.select("frame_id", "label"), ["frame_id", "label"]).select("frame_id", "label", "pr", "pc", F.explode(around).alias("o"))
@@ -88,7 +91,7 @@ def fixes(pixels: DataFrame, lat: float, lon: float, search_km: float = SEARCH_K
     best = kept(best.select("frame_id", F.lit("eye").alias("method"), "b.*"), "eyes")
 
     blind = cloud.where(F.col("r") <= search_km).join(best.select("frame_id"), "frame_id", "left_anti")
-    core = blind.join(percentiles(blind, "frame_id", "ir", CORE_SHARE, "cut"), "frame_id").where("ir < cut").groupBy("frame_id").agg(F.avg("pr").alias("cy"), F.avg("pc").alias("cx"))
+    core = blind.join(percentiles(blind, "frame_id", "ir", CORE_SHARE, "cut").hint("shuffle_hash"), "frame_id").where("ir < cut").groupBy("frame_id").agg(F.avg("pr").alias("cy"), F.avg("pc").alias("cx"))
     middle = _at(core, p).select("frame_id", F.lit("cdo_centroid").alias("method"), "lat", "lon", F.lit(NO_EYE).alias("sure"), C.distance_km(F.col("lat"), F.col("lon"), lat, lon).alias("dist"), *(F.lit(None).cast("double").alias(c) for c in ("area", "contrast")))
     every = best.unionByName(middle)
     heading = C.bearing(F.col("lat") - lat, C.lon_delta(F.lit(float(lon)), F.col("lon")) * F.cos(F.radians(F.lit(float(lat)))))

@@ -1,5 +1,6 @@
 """Centre fixes against plain loops over each frame."""
 
+import itertools
 import math
 import random
 from collections import deque
@@ -134,3 +135,20 @@ def test_pixels_are_made_once(spark):
     df = spark.createDataFrame(rows, "frame_id int, pr int, pc int, lat double, lon double, ir double")
     assert centres.fixes(df.mapInPandas(counted, df.schema), LAT, LON, 150.0).count() == 2
     assert made.value == len(rows)
+
+
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    """Written pixels are a small file and large in memory: only what is one row a frame or hole goes through the driver."""
+    plans, write = [], centres.kept
+    monkeypatch.setattr(centres, "kept", lambda df, *a: plans.append(df) or write(df, *a))
+    rows = [(f, r, c, *place(r, c), v) for f, ir in enumerate(frames()[:2]) for (r, c), v in ir.items()]
+    plans.append(centres.fixes(spark.createDataFrame(rows, "frame_id int, pr int, pc int, lat double, lon double, ir double"), LAT, LON, 150.0))
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    sent = 0
+    for lines in (p._jdf.queryExecution().executedPlan().toString().split("\n") for p in plans):
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                tree = list(itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :]))
+                assert any("Aggregate" in x for x in tree) or not any("pr#" in x for x in tree)
+                sent += 1
+    assert sent
